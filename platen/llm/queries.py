@@ -8,8 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, warc
-from .common import table
+from . import bpe, lines, packing, quality, simhash, warc
+from .common import remainder, table
+
+
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT doc_id, p, l[p + 1] AS a, l[p + 2] AS b, l[p + 3] AS c FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS p FROM d)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS n FROM w),
+g AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (SELECT unnest(range(0, 3)) AS o) WHERE n > 1),
+x AS (SELECT doc_id, unnest(range(0, len(l))) AS p, unnest(l) AS line FROM d),
+k AS (
+  SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.p) FILTER (WHERE g.p IS NULL) AS kept, count(g.p) AS n
+  FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.p = g.p GROUP BY x.doc_id
+)
+SELECT d.doc_id, CASE WHEN k.n > 0 THEN coalesce(k.kept, '') ELSE d.text END AS text, coalesce(k.n, 0) AS n_removed
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +37,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packed)
 
 
+#: A text is taken as good from this score on.
+GOOD = 0.7
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2))
+    made = quality.score(docs, model)
+    return made.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     made = bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -52,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op2_lines": OP2_SQL, "op7_warc": OP7_SQL}
