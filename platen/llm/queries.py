@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, quality, simhash, warc
+from . import bpe, lines, packing, quality, simhash, toxicity, warc
 from .common import remainder, table
 
 
@@ -74,6 +74,17 @@ FROM p LEFT JOIN f USING (digest)
 """
 
 
+#: A text is taken as toxic from this score on.
+TOXIC = 0.7
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1))
+    made = toxicity.score(docs, model)
+    return made.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
