@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, quality, simhash, toxicity, warc
+from . import bpe, hmm, lines, packing, quality, simhash, toxicity, warc
 from .common import remainder, table
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = hmm.scores(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+    return made.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"))
