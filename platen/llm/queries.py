@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, lines, packing, quality, simhash, toxicity, warc
+from . import bpe, hmm, lines, packing, quality, quantise, simhash, toxicity, voronoi, warc
 from .common import remainder, table
 
 
@@ -64,6 +64,30 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.select("vec_id", voronoi.whole_numbers(F.col("embedding")).alias("embedding"))
+    return voronoi.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q, v d WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -99,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": OP2_SQL, "op7_warc": OP7_SQL}
+    return {"op2_lines": OP2_SQL, "op7_warc": OP7_SQL, "op8_voronoi": OP8_SQL}
