@@ -44,7 +44,7 @@ def stored(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: what is lost with an executor is not computed anew."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if by:
         writer = writer.partitionBy(by)
     writer.parquet(path)
