@@ -7,11 +7,27 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+Plan = Callable[[SparkSession, str], DataFrame]
+
 
 @dataclass(frozen=True)
 class Query:
-    spark: Callable[[SparkSession, str], DataFrame]
+    spark: Plan
     sql: str | None = None
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Plan], Plan]:
+    """Registers a plan under its name, with the SQL that gives the same rows."""
+
+    def add(plan: Plan) -> Plan:
+        QUERIES[plan.__name__] = Query(plan, sql)
+        return plan
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
