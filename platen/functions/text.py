@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code points that end a line.
 LINE_ENDS = "\n\x0b\x0c\r\x85\u2028\u2029"
@@ -28,7 +29,7 @@ def glyph_codes(data: Column, width: int) -> Column:
     return F.struct(codes.alias("codes"), F.pmod(F.octet_length(data), F.lit(width)).alias("trailing"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def utf16be(data: pd.Series) -> pd.Series:
     """Null for nothing, an odd number of bytes, or a lone surrogate."""
 
@@ -87,7 +88,7 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(None)).when((n > 0) & (other > 0), (other - 1).cast("int")).otherwise(n)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def word_key(text: pd.Series) -> pd.Series:
     """Without white space, casefolded."""
     return text.map(lambda x: None if x is None else "".join(x.split()).casefold()).astype(object)
@@ -99,7 +100,7 @@ def normalised(markup: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(bare), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("struct<xheight:boolean,ascender:boolean,descender:boolean,marks:boolean>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType()) for n in ("xheight", "ascender", "descender", "marks")]))
 def letter_features(text: pd.Series) -> pd.DataFrame:
     """What the letters of a text reach: x-height, ascenders, descenders, marks."""
     rows = []
@@ -110,7 +111,7 @@ def letter_features(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["xheight", "ascender", "descender", "marks"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks; 1 where one text holds the other."""
 
@@ -124,7 +125,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def logical_order(text: pd.Series) -> pd.Series:
     """Visual order to logical: runs of right-to-left letters are reversed."""
 
