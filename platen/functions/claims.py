@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The reasons that an unknown claim may give.
-REASONS = ("not-observed", "not-provided", "not-applicable", "ambiguous", "illegible", "unsupported", "conflicting")
+REASONS = ("not-observed", "ambiguous", "unsupported", "invalid", "budget-exhausted", "redacted", "below-policy-threshold")
 
 
 def known(value: Column, confidence: Column, evidence: Column | None = None) -> Column:
