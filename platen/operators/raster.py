@@ -1,0 +1,188 @@
+"""Operators over grey rasters: arrays of 0 (ink) to 255, one raster to a call; over_rasters() applies them to a table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def otsu(grey: np.ndarray) -> int:
+    """The threshold of the largest variance between two classes; the first of equal ones."""
+    n = np.bincount(grey.ravel(), minlength=256).astype(float)
+    w0, s0 = np.cumsum(n), np.cumsum(n * np.arange(256))
+    w1, s1 = n.sum() - w0, s0[-1] - s0
+    with np.errstate(all="ignore"):
+        between = np.where((w0 > 0) & (w1 > 0), w0 * w1 * (s0 / w0 - s1 / w1) ** 2, 0)
+    return int(between.argmax())
+
+
+def ink_box(ink: np.ndarray) -> tuple[int, int, int, int] | None:
+    """x0, y0, x1, y1 (open ends) of what is inked; None without ink."""
+    ys, xs = np.flatnonzero(ink.any(axis=1)), np.flatnonzero(ink.any(axis=0))
+    return (int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1) if len(xs) else None
+
+
+def runs(active: np.ndarray, merge: int = 0, least: int = 1) -> list[tuple[int, int]]:
+    """Ranges of consecutive active places; gaps of at most merge are bridged, ranges under least dropped."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], active.astype(np.int8), [0]])))
+    out: list[list[int]] = []
+    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if out and a - out[-1][1] <= merge:
+            out[-1][1] = z
+        else:
+            out.append([a, z])
+    return [(a, z) for a, z in out if z - a >= least]
+
+
+def components(ink: np.ndarray, least: int = 1) -> list[tuple[int, int, int, int, int]]:
+    """(x0, y0, x1, y1, area) of 8-connected ink of at least that area, by top, then left."""
+    label = np.where(ink, np.arange(1, ink.size + 1).reshape(ink.shape), 0)
+    while True:
+        wide = np.pad(label, 1)
+        best = label.copy()
+        for dy in range(3):
+            for dx in range(3):
+                np.maximum(best, wide[dy : dy + ink.shape[0], dx : dx + ink.shape[1]], out=best)
+        best = np.where(ink, best, 0)
+        if (best == label).all():
+            break
+        label = best
+    out = []
+    for name in np.unique(label[label > 0]):
+        ys, xs = np.nonzero(label == name)
+        if len(xs) >= least:
+            out.append((int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1, len(xs)))
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def resized(ink: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The ink's box as cell means of a grid."""
+    box = ink_box(ink)
+    if box is None:
+        return np.zeros((height, width))
+    part = ink[box[1] : box[3], box[0] : box[2]].astype(float)
+    rows, cols = (np.linspace(0, n, k + 1) for n, k in ((part.shape[0], height), (part.shape[1], width)))
+    total = np.pad(part.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    grid = np.empty((height + 1, width + 1))
+    for i, y in enumerate(rows):
+        a, f = int(y), y - int(y)
+        line = total[a] if not f else (1 - f) * total[a] + f * total[a + 1]
+        grid[i] = np.interp(cols, np.arange(part.shape[1] + 1), line)
+    area = (part.shape[0] / height) * (part.shape[1] / width)
+    return (grid[1:, 1:] - grid[:-1, 1:] - grid[1:, :-1] + grid[:-1, :-1]) / area
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard of two inks of one shape; 1 for two empty ones."""
+    top, bottom = np.minimum(a, b).sum(), np.maximum(a, b).sum()
+    return float(top / bottom) if bottom else 1.0
+
+
+def mirrored_overlap(a: np.ndarray, b: np.ndarray) -> float:
+    return max(overlap(a, b), overlap(a, b[:, ::-1]))
+
+
+def distance_field(ink: np.ndarray) -> np.ndarray:
+    """Chamfer distance (3-4, in thirds) of each place to the nearest ink; infinite without ink."""
+    d = np.where(ink, 0.0, np.inf)
+    h, w = d.shape
+    for flip in (False, True):
+        v = d[::-1, ::-1] if flip else d
+        for y in range(h):
+            if y:
+                up = v[y - 1]
+                v[y] = np.minimum(v[y], up + 1)
+                v[y, 1:] = np.minimum(v[y, 1:], up[:-1] + 4 / 3)
+                v[y, :-1] = np.minimum(v[y, :-1], up[1:] + 4 / 3)
+            v[y] = np.minimum.accumulate(v[y] - np.arange(w)) + np.arange(w)
+    return d
+
+
+def chamfer(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Mean distance of either ink to the other; None if one is empty."""
+    if not a.any() or not b.any():
+        return None
+    return float((distance_field(b)[a].mean() + distance_field(a)[b].mean()) / 2)
+
+
+def descriptor(ink: np.ndarray) -> np.ndarray:
+    """Density, centroid x and y, 8 column and 8 row projections, 8 x 16 occupancies."""
+    cells = resized(ink, 8, 16)
+    weight = cells.sum()
+    ys, xs = np.mgrid[0:8, 0:16]
+    centroid = [(cells * (xs + 0.5)).sum() / weight / 16, (cells * (ys + 0.5)).sum() / weight / 8] if weight else [0.5, 0.5]
+    return np.concatenate([[cells.mean()], centroid, cells.mean(axis=0).reshape(8, 2).mean(axis=1), cells.mean(axis=1), cells.ravel()])
+
+
+def best_shift(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """The shift of b, from -most on, at the smallest mean absolute difference; the first of equal ones."""
+
+    def error(shift: int) -> float:
+        lo, hi = max(0, shift), min(len(a), len(b) + shift)
+        return float(np.abs(a[lo:hi] - b[lo - shift : hi - shift]).mean()) if hi > lo else np.inf
+
+    return min(range(-most, most + 1), key=lambda s: (error(s), s))
+
+
+def seam(cost: np.ndarray) -> list[int]:
+    """Per row the column of the cheapest top-down path over three neighbours; of equal ones the leftmost."""
+    total = cost.astype(float).copy()
+    for y in range(1, len(total)):
+        up = np.pad(total[y - 1], 1, constant_values=np.inf)
+        total[y] += np.minimum(np.minimum(up[:-2], up[1:-1]), up[2:])
+    path = [int(total[-1].argmin())]
+    for y in range(len(total) - 2, -1, -1):
+        x = path[-1]
+        lo = max(0, x - 1)
+        path.append(lo + int(total[y, lo : x + 2].argmin()))
+    return path[::-1]
+
+
+def trimmed(profile: np.ndarray, low: float = 0.01, high: float = 0.99) -> tuple[int, int]:
+    """The range that holds the ink between two shares of it."""
+    total = np.cumsum(profile)
+    if not len(total) or total[-1] == 0:
+        return 0, 0
+    return int(np.searchsorted(total, low * total[-1])), int(np.searchsorted(total, high * total[-1])) + 1
+
+
+def skew(ink: np.ndarray, angles: np.ndarray, gate: float = 0.005) -> float:
+    """The angle in degrees whose row projection varies most; 0 unless it gains that share over none."""
+    ys, xs = np.nonzero(ink)
+    if not len(xs):
+        return 0.0
+
+    def sharpness(angle: float) -> float:
+        rows = np.round(ys * np.cos(np.radians(angle)) - xs * np.sin(np.radians(angle))).astype(int)
+        return float(np.bincount(rows - rows.min()).var())
+
+    none, best = sharpness(0.0), max(angles, key=lambda a: (sharpness(a), -abs(a)))
+    return float(best) if sharpness(best) > none * (1 + gate) else 0.0
+
+
+def difference(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
+    """Mean absolute difference, share of differing places, errors of row and column profiles; shapes must be equal."""
+    d = np.abs(a.astype(float) - b.astype(float)) / 255
+    return {"mae": float(d.mean()), "differing": float((d > 0).mean()), "rows": float(np.abs(a.mean(axis=1) - b.mean(axis=1)).mean() / 255), "columns": float(np.abs(a.mean(axis=0) - b.mean(axis=0)).mean() / 255)}
+
+
+def stacked(samples: list[np.ndarray]) -> np.ndarray:
+    """The median of samples of one shape, place by place."""
+    return np.median(np.stack(samples), axis=0)
+
+
+def over_rasters(rasters: DataFrame, key: str, run: Callable[[np.ndarray], list[dict]], schema: str) -> DataFrame:
+    """run(grey) over rasters (key, width, height, pixels: a byte per place, row by row): its rows with the key. schema: of these without the key."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, w, h, data in zip(batch[key], batch["width"], batch["height"], batch["pixels"], strict=True):
+                rows = run(np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w)))
+                if rows:
+                    yield pd.DataFrame([{key: name, **r} for r in rows])
+
+    kind = rasters.schema[key].dataType.simpleString()
+    return rasters.select(key, "width", "height", "pixels").mapInPandas(each, f"`{key}` {kind}, {schema}")
