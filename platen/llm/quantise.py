@@ -3,9 +3,11 @@
 Unit vectors lie in inverted lists of coarse centroids; what is left of them after the centroid is coded by
 subspaces. A vector probes each list that can hold one near enough: the distance to the plane between its own
 centroid and the list's is a lower bound. In a list, tables of a query's distances to code words give its
-distance to each coded member; with the member's own coding error this bounds the true distance, and only
-pairs that pass are compared exactly. Both bounds are exact, so no link is lost whatever the centroids are;
-these are fitted on a bounded sample, and every vector is indexed.
+distance to each coded member; with the member's own coding error this bounds the true distance exactly, and
+only pairs that pass are compared. The plane is given SPREAD standard deviations of how far a difference of that
+length reaches along one direction, if it favours none; up to SPREAD squared dimensions that is its whole length,
+and probing is exact. Centroids are fitted on a bounded sample, their number grows with the square root of
+the vectors, and every vector is indexed.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import components, spanning, stored
 from .vectors import batches_of, bounded_sample, finite, kmeans, matrix, meet, packed, squares, unpacked
 
-SAMPLE, LISTS, SUBSPACES, WORDS = 8192, 128, 16, 32
+SAMPLE, SUBSPACES, WORDS, SPREAD = 8192, 16, 32, 4.0
 
 
 @dataclass
@@ -33,7 +35,7 @@ class Index:
     cuts: list[int]
 
     @staticmethod
-    def fit(x: np.ndarray, lists: int = LISTS, subspaces: int = SUBSPACES, words: int = WORDS) -> Index:
+    def fit(x: np.ndarray, lists: int, subspaces: int = SUBSPACES, words: int = WORDS) -> Index:
         coarse = kmeans(x, max(1, min(lists, len(x) // 8))) if len(x) else np.zeros((1, x.shape[1]))
         rest = x - coarse[squares(x, coarse).argmin(1)]
         cuts = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int).tolist()
@@ -60,10 +62,10 @@ class Index:
 
     def distances(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric: of queries' rests to coded members, from tables."""
-        total = np.zeros((len(rest), len(codes)))
+        total = np.zeros((len(rest), len(codes)), np.float32)
         for s, w in enumerate(self.words):
-            total += squares(rest[:, self.cuts[s] : self.cuts[s + 1]], w)[:, codes[:, s]]
-        return np.sqrt(total)
+            total += squares(rest[:, self.cuts[s] : self.cuts[s + 1]], w).astype(np.float32).take(codes[:, s], axis=1)
+        return np.sqrt(total, out=total)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -87,12 +89,13 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     hashed = marked.select("key", "x", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit("second"), "x").alias("h2"))
     classes = hashed.where("x IS NOT NULL").groupBy("h1", "h2").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("x").alias("x"))
     classes = stored(classes, "classes")
-    width = classes.agg(F.max(F.size("x"))).first()[0]
+    width, n = classes.agg(F.max(F.size("x")), F.count("*")).first()
     if not width:
         return marked.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").cast("long").alias("component_id"), F.col("key").isNotNull().alias("kept"))
     sample = bounded_sample(classes, "id", "x", SAMPLE, width)
-    shared = spark.sparkContext.broadcast(Index.fit(unit(sample)))
+    shared = spark.sparkContext.broadcast(Index.fit(unit(sample), int(2 * np.sqrt(n))))
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    margin = reach * min(1.0, SPREAD / np.sqrt(width))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -100,7 +103,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
             x = unit(matrix(batch.column(2), width))
             own = squares(x, index.coarse).argmin(1)
             codes, error = index.code(x - index.coarse[own])
-            row, g = index.probes(x, own, reach)
+            row, g = index.probes(x, own, margin)
             data, code = packed(x), packed(codes)
             every = np.concatenate([np.arange(len(x)), row])
             first = np.arange(len(every)) < len(x)
@@ -123,7 +126,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         pairs = []
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
-            near = index.distances(part - centre, codes) - error[None, :] <= reach + 1e-6
+            near = index.distances(part - centre, codes) <= (error + reach + 1e-4)[None, :]
             i, j = np.nonzero(near)
             for k in range(0, len(i), 50_000):
                 a, b = i[k : k + 50_000], j[k : k + 50_000]
