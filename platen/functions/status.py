@@ -56,12 +56,13 @@ def first_reason(*reasons: tuple[Column, str]) -> Column:
 
 
 def consensus(present: Column, supporters: Column, has_geometry: Column) -> Column:
+    """Of witnesses that are present and those that support a region."""
     return (
         F.when(has_geometry & (supporters >= 2), "confirmed")
         .when((present >= 2) & (supporters == 0), "disputed")
-        .when(supporters >= 1, "supported")
-        .when(present >= 1, "single-source")
-        .otherwise("absent")
+        .when(has_geometry, "geometry-confirmed")
+        .when(supporters >= 2, "text-confirmed")
+        .otherwise("unknown")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platen.functions import geometry as g
+from platen.functions import rules
 from platen.functions import status as verdicts
 from platen.functions import text as t
 from platen.operators import aggregate, cluster, layout, match, search
@@ -217,7 +218,7 @@ def spatial_text_assign(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND s >= 2 THEN 'confirmed' WHEN p >= 2 AND s = 0 THEN 'disputed' WHEN s >= 1 THEN 'supported' WHEN p >= 1 THEN 'single-source' ELSE 'absent' END AS consensus
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND s >= 2 THEN 'confirmed' WHEN p >= 2 AND s = 0 THEN 'disputed' WHEN o_orderstatus = 'F' THEN 'geometry-confirmed' WHEN s >= 2 THEN 'text-confirmed' ELSE 'unknown' END AS consensus
 FROM (SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS p, count(*) FILTER (WHERE l_discount >= 0.07) AS s FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"""
 )
 def consensus_status(spark, sf_dir):
@@ -235,13 +236,62 @@ def side_classify(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", side.alias("side"))
 
 
-ROLES = (("p_size >= 45 AND p_retailprice > 1500", "title"), ("p_size >= 40", "heading"), ("p_size <= 3", "footnote"), ("p_type = 'PROMO'", "caption"))
+@query(
+    """SELECT p_partkey, CASE WHEN y0 >= 850 AND x1 - x0 < 120 THEN 'page-number' WHEN n = 1 AND x0 > 48 THEN 'epigraph' WHEN y0 < 140 THEN 'heading' WHEN y0 > 700 AND x0 > 48 THEN 'note'
+  WHEN n >= 3 AND x0 + 10 > 48 AND x1 < 552 THEN 'list' ELSE 'paragraph' END AS zone
+FROM (SELECT p_partkey, CAST(p_partkey % 90 AS DOUBLE) AS x0, CAST(p_partkey * 7 % 1000 AS DOUBLE) AS y0, CAST(p_partkey % 90 + p_size * 11 AS DOUBLE) AS x1, p_size % 5 AS n FROM part)"""
+)
+def zone_classify(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    x0 = (key % 90).cast("double")
+    zone = rules.zone_type(x0, (key * 7 % 1000).cast("double"), (key % 90 + size * 11).cast("double"), size % 5, x0 + 10, F.lit(600.0), F.lit(1000.0))
+    return table(spark, sf_dir, "part").select("p_partkey", zone.alias("zone"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity - 25) > 3 AND abs(1 + l_discount - 1) < CAST(0.03 AS DOUBLE) THEN 'position'
+  WHEN abs(1 + l_discount - 1) > CAST(0.06 AS DOUBLE) AND abs(1 + l_tax - 1) < CAST(0.05 AS DOUBLE) THEN 'tracking_or_glyph_width' WHEN abs(1 + l_tax - 1) > CAST(0.06 AS DOUBLE) THEN 'font_size_or_weight'
+  WHEN l_quantity / 100 > CAST(0.12 AS DOUBLE) THEN 'localized_typography_or_ocr' ELSE 'preserved' END AS difference FROM lineitem"""
+)
+def difference_classify(spark, sf_dir):
+    found = rules.difference_class(F.col("l_quantity") - 25, 1 + F.col("l_discount"), 1 + F.col("l_tax"), F.col("l_quantity") / 100)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", found.alias("difference"))
 
 
-@query("SELECT p_partkey, CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in ROLES) + " ELSE 'body' END AS role FROM part")
+@query(
+    """WITH r AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'visual' WHEN 1 THEN 'heading' WHEN 2 THEN 'page-number' ELSE 'text' END AS kind, p_size % 7 AS n, CAST(p_size / 50 AS DOUBLE) AS widest, CAST(p_size / 60 AS DOUBLE) AS middle,
+  CAST(p_partkey % 100 / 100 AS DOUBLE) AS top, CASE WHEN p_partkey % 3 = 0 THEN 'italic' ELSE 'upright' END AS slant, CASE WHEN p_partkey % 5 = 0 THEN 'bold' ELSE 'regular' END AS weight, CASE WHEN p_partkey % 2 = 0 THEN 'Figure: the author was born' ELSE p_name END AS text FROM part),
+c AS (SELECT p_partkey, CASE WHEN kind = 'visual' THEN 'visual' WHEN n = 0 THEN 'unknown' WHEN kind = 'page-number' THEN 'page_number' WHEN weight = 'bold' AND n <= 4 AND widest < 0.60 AND text LIKE 'Figure%' THEN 'figure_caption'
+  WHEN kind = 'heading' AND top < 0.18 AND n <= 3 THEN 'heading' WHEN n <= 2 AND top < 0.4 AND middle < 0.65 THEN 'epigraph' WHEN slant = 'italic' THEN CASE WHEN top > 0.68 AND middle > 0.55 AND text LIKE 'Figure%' THEN 'biographical_note'
+  WHEN n >= 3 AND middle < 0.55 AND widest < 0.68 THEN 'verse_or_title_list' ELSE 'block_quote' END WHEN n >= 2 THEN 'body_paragraph' ELSE 'unknown' END AS role FROM r)
+SELECT p_partkey, role, CAST(CASE role WHEN 'visual' THEN 1.0 WHEN 'page_number' THEN 0.99 WHEN 'figure_caption' THEN 0.94 WHEN 'heading' THEN 0.92 WHEN 'epigraph' THEN 0.88 WHEN 'biographical_note' THEN 0.91 WHEN 'verse_or_title_list' THEN 0.90
+  WHEN 'block_quote' THEN 0.82 WHEN 'body_paragraph' THEN 0.90 ELSE 0.0 END AS DOUBLE) AS confidence FROM c"""
+)
 def role_classify(spark, sf_dir):
-    role = F.coalesce(verdicts.first_reason(*[(F.expr(c), r) for c, r in ROLES]), F.lit("body"))
-    return table(spark, sf_dir, "part").select("p_partkey", role.alias("role"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(size % 4 == 0, "visual").when(size % 4 == 1, "heading").when(size % 4 == 2, "page-number").otherwise("text")
+    text = F.when(key % 2 == 0, "Figure: the author was born").otherwise(F.col("p_name"))
+    role = rules.editorial_role(kind, size % 7, size / 50, size / 60, F.lit(0.1), (key % 100) / 100, F.when(key % 5 == 0, "bold").otherwise("regular"), F.when(key % 3 == 0, "italic").otherwise("upright"), text)
+    return table(spark, sf_dir, "part").select("p_partkey", role["role"].alias("role"), role["confidence"].alias("confidence"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN style = 'normal' THEN CASE WHEN weight = 'bold' THEN 'bold' ELSE 'regular' END WHEN weight = 'bold' THEN 'bold-' || style ELSE style END AS face
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'bold' ELSE 'regular' END AS weight, CASE WHEN o_custkey % 3 = 0 THEN 'italic' WHEN o_custkey % 3 = 1 THEN 'oblique' ELSE 'normal' END AS style FROM orders)"""
+)
+def expected_face(spark, sf_dir):
+    weight = F.when(F.col("o_orderstatus") == "F", "bold").otherwise("regular")
+    style = F.when(F.col("o_custkey") % 3 == 0, "italic").when(F.col("o_custkey") % 3 == 1, "oblique").otherwise("normal")
+    return table(spark, sf_dir, "orders").select("o_orderkey", rules.expected_face(weight, style).alias("face"))
+
+
+@query(
+    """SELECT p_partkey, round(sum(CASE WHEN c = ' ' THEN 0.55 WHEN c = 'i' THEN 0.65 WHEN c = 'l' THEN 0.5 WHEN c IN ('r', 't', 'f') THEN 0.82 WHEN c IN ('y', 'o') THEN 1.12 WHEN c IN ('c', 'e') THEN 1.05 WHEN c IN ('m', 'w') THEN 1.45 ELSE 1.0 END)::DOUBLE, 6) AS width
+FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY p_partkey"""
+)
+def natural_width(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", "")).alias("c"))
+    return rows.groupBy("p_partkey").agg(F.round(F.sum(rules.character_weight(F.col("c"))), 6).alias("width"))
 
 
 @query("SELECT l_suppkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS score FROM lineitem GROUP BY l_suppkey ORDER BY score DESC, l_suppkey LIMIT 10")
@@ -281,9 +331,9 @@ def mad_outliers(spark, sf_dir):
     return aggregate.deviation_threshold(table(spark, sf_dir, "events").where("value IS NOT NULL"), ["user_id"], "value", 20.0)
 
 
-@query("SELECT event_type, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.975) AS p975 FROM events GROUP BY event_type")
+@query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.975), 6) AS p975 FROM events GROUP BY event_type")
 def gap_quantiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.9).alias("p90"), F.percentile("value", 0.975).alias("p975"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.percentile("value", 0.975), 6).alias("p975"))
 
 
 @query(

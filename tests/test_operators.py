@@ -141,3 +141,13 @@ def test_text_scalars(spark):
     assert (codes.codes, codes.trailing) == ([258], 1)
     raw = spark.createDataFrame([(bytearray("é😀".encode("utf-16-be")),), (bytearray(b"\xd8\x00"),), (bytearray(b"\x00"),), (bytearray(),)], "b binary")
     assert [r[0] for r in raw.select(text.utf16be("b")).collect()] == ["é😀", None, None, None]
+
+
+def test_rules(spark):
+    from platen.functions import rules
+
+    made = spark.range(1).select(
+        rules.font_geometry(F.lit(50.0), F.lit(20.0), F.lit(30.0), F.lit(10.0), F.lit("abc"), 100.0), rules.supports(F.lit("abcdefghij"), F.lit("bacdefghij")), rules.supports(F.lit("abc"), F.lit("xyz")), rules.supports(F.lit("abc"), F.lit(None).cast("string")), rules.expected_face(F.lit("heavy"), F.lit("normal"))
+    ).first()
+    assert tuple(made[0]) == (200.0, -0.025, 0.833333)
+    assert tuple(made[1:]) == (True, False, None, None)
