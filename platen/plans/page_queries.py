@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platen.operators import pages
+from platen.operators import fonts, pages
 
 from .catalogue import query, table
 from .line_queries import lines_of
@@ -99,3 +99,18 @@ def cluster_zip(spark, sf_dir):
     left = rows.groupBy("l_suppkey", "l_shipdate").agg(F.min("l_orderkey").alias("k"))
     right = rows.where("l_returnflag = 'R'").groupBy("l_suppkey", "l_shipdate").agg(F.count("*").alias("n"))
     return pages.by_index(left, right, ["l_suppkey", "l_shipdate"]).groupBy("l_suppkey").agg(F.count("*").alias("days"), F.count("n").alias("returned"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, CASE WHEN l_quantity > 3 THEN l_tax END AS r, l_tax - (l_discount - CAST(0.03 AS DOUBLE)) AS li, l_tax - (l_quantity / 500 - CAST(0.01 AS DOUBLE)) AS b, l_returnflag = 'A' AS it FROM lineitem),
+g AS (SELECT l_orderkey, count(r) AS n, avg(CASE WHEN r IS NOT NULL THEN it::INT END) AS i, count(*) FILTER (WHERE r - li >= CAST(0.04 AS DOUBLE)) AS lv, count(*) FILTER (WHERE r - b >= CAST(0.04 AS DOUBLE)) AS bv,
+  round(avg(r - li), 9) AS lm, round(avg(r - b), 9) AS bm FROM l GROUP BY l_orderkey), d AS (SELECT *, CASE WHEN n = 1 THEN 1 ELSE greatest(2, CAST(ceil(n * CAST(0.6 AS DOUBLE) - 1e-9) AS BIGINT)) END AS need FROM g)
+SELECT l_orderkey, CASE WHEN n > 0 THEN CASE WHEN i >= 0.5 THEN 'italic' ELSE 'normal' END END AS slant,
+  CASE WHEN n > 0 THEN CASE WHEN lv >= need AND (bv < need OR lm >= bm) THEN 'light' WHEN bv >= need THEN 'bold' ELSE 'regular' END END AS weight, n AS observed FROM d"""
+)
+def region_style(spark, sf_dir):
+    tax, seen = F.col("l_tax"), F.col("l_quantity") > 3
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_returnflag") == "A").cast("int").alias("italic"), F.when(seen, tax).alias("regular"), (tax - (F.col("l_discount") - 0.03)).alias("light"), (tax - (F.col("l_quantity") / 500 - 0.01)).alias("bold")
+    )
+    return fonts.style_consensus(rows, "l_orderkey", "italic", {"regular": "regular", "light": "light", "bold": "bold"})

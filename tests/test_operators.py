@@ -151,3 +151,17 @@ def test_rules(spark):
     ).first()
     assert tuple(made[0]) == (200.0, -0.025, 0.833333)
     assert tuple(made[1:]) == (True, False, None, None)
+
+
+def test_fonts(spark):
+    from platen.operators import fonts
+
+    tokens = spark.createDataFrame([(1, 0, "the"), (1, 1, "cat"), (1, 2, "the"), (1, 3, "dog"), (1, 4, "xx"), (2, 0, "a")], "page int, token int, text string")
+    glyphs = [(1, i, c, "A" if i < 6 else "B") for i, c in enumerate("thecatthedogs")]
+    df = spark.createDataFrame(glyphs, "page int, glyph_index int, text string, font string")
+    assert rows(fonts.token_fonts(tokens, df, "page")) == [(1, 1, "A"), (1, 3, "B")]
+    assert fonts.word_starts([0, 20, 40], [(1, 0), (18, 3), (22, 5), (39, 3)]) == [1, 22, 39]
+    assert fonts.word_starts([0, 60], [(1, 0), (39, 3)]) is None
+    lines = spark.createDataFrame([(1, 1, 0.5, 0.4, 0.3), (1, 1, 0.5, 0.4, 0.3), (2, 0, None, 0.1, 0.1), (3, 0, 0.5, 0.5, 0.45)], "r int, i int, g double, l double, b double")
+    made = fonts.style_consensus(lines, "r", "i", {"regular": "g", "light": "l", "bold": "b"})
+    assert rows(made) == [(1, "italic", "bold", 2), (2, None, None, 0), (3, "normal", "bold", 1)]
