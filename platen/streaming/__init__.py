@@ -1,0 +1 @@
+"""Nothing: the inventory has no stream operator. Plans here are batch plans over whole tables."""
