@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,43 +72,45 @@ def project(m: Column, x: Column, y: Column) -> Column:
     return F.when(safe.isNotNull(), F.struct(((m[0] * x + m[1] * y + m[2]) / safe).alias("x"), ((m[3] * x + m[4] * y + m[5]) / safe).alias("y")))
 
 
-def _corners(box: Column) -> list[tuple[Column, Column]]:
-    return [(box["x0"], box["y0"]), (box["x1"], box["y0"]), (box["x1"], box["y1"]), (box["x0"], box["y1"])]
+def _over_corners(m: Column, box: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """Envelope of a box's projected corners; null unless keep(corners, envelope) holds. Corners are d, u, v: the point is (u / d, v / d).
+
+    They are bound once by a lambda, for as plain columns their expressions would be repeated in each of their uses.
+    """
+    places = [(box["x0"], box["y0"]), (box["x1"], box["y0"]), (box["x1"], box["y1"]), (box["x0"], box["y1"])]
+    corners = F.array(*[F.struct(denominator(m, x, y).alias("d"), (m[0] * x + m[1] * y + m[2]).alias("u"), (m[3] * x + m[4] * y + m[5]).alias("v")) for x, y in places])
 
+    def envelope(points: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: F.try_divide(p["u"], p["d"])), F.transform(points, lambda p: F.try_divide(p["v"], p["d"]))
+        return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
-def _envelope(points: list[Column]) -> Column:
-    xs, ys = [p["x"] for p in points], [p["y"] for p in points]
-    return F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"))
+    made = F.transform(F.array(corners), lambda c: F.struct(c.alias("c"), envelope(c).alias("e")))
+    return F.get(F.transform(made, lambda x: F.when(keep(x["c"], x["e"]), x["e"])), 0)
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def _clear(corners: Column) -> Column:
+    return F.forall(corners, lambda p: F.coalesce(_finite(p["d"]) & (F.abs(p["d"]) > EPSILON), F.lit(False)))
 
 
 def project_box_compare(m: Column, box: Column) -> Column:
     """Envelope of the four projected corners; null if a corner has none."""
-    points = [project(m, x, y) for x, y in _corners(box)]
-    return F.when(_all([p.isNotNull() for p in points]), _envelope(points))
+    return _over_corners(m, box, lambda c, e: _clear(c))
 
 
 def project_box_plan(m: Column, box: Column) -> Column:
     """As for comparing, and the corners lie on one side of the horizon and the envelope has an area."""
-    signs = [F.signum(denominator(m, x, y)) for x, y in _corners(box)]
-    made = project_box_compare(m, box)
-    same = _all([s == signs[0] for s in signs[1:]])
-    return F.when(same & (made["x1"] > made["x0"]) & (made["y1"] > made["y0"]), made)
+
+    def keep(c: Column, e: Column) -> Column:
+        signs = F.transform(c, lambda p: F.signum(p["d"]))
+        return _clear(c) & (F.array_min(signs) == F.array_max(signs)) & (e["x1"] > e["x0"]) & (e["y1"] > e["y0"])
+
+    return _over_corners(m, box, keep)
 
 
 def project_box_layout(m: Column, box: Column) -> Column:
     """Only finiteness is asked of the corners."""
-    points = []
-    for x, y in _corners(box):
-        d = denominator(m, x, y)
-        points.append(F.struct(F.try_divide(m[0] * x + m[1] * y + m[2], d).alias("x"), F.try_divide(m[3] * x + m[4] * y + m[5], d).alias("y")))
-    return F.when(_all([_finite(p["x"]) & _finite(p["y"]) for p in points]), _envelope(points))
+    finite = lambda p, n: _finite(F.try_divide(p[n], p["d"]))
+    return _over_corners(m, box, lambda c, e: F.forall(c, lambda p: finite(p, "u") & finite(p, "v")))
 
 
 def project_baseline(m: Column, points: Column) -> Column:

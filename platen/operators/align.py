@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 def lcs(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of a longest common subsequence: matches are taken as they come, and of equal ways the left side goes on."""
+    codes = {x: n for n, x in enumerate(dict.fromkeys([*a, *b]))}
+    right = np.array([codes[x] for x in b], np.int64)
     best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+        # A match is never worse than a step on either side, so the row is a running maximum from its end.
+        row = np.where(right == codes[a[i]], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
@@ -27,24 +30,17 @@ def lcs(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def cost_alignment(a: list[float], b: list[float], skip: float = 0.35, cap: float = 0.7, slope: float = 3.0, vertical: list[list[float]] | None = None) -> list[tuple[int | None, int | None]]:
-    """The cheapest way through both: a pair costs its capped difference, a skip its price; of equal ways the pair, then a skip on the left."""
+    """The cheapest way through both: a pair costs its capped difference, a skip its price; of equal ways (to 1e-12) the pair, then a skip on the left."""
     n, m = len(a), len(b)
-    cost = np.full((n + 1, m + 1), np.inf)
-    move = np.zeros((n + 1, m + 1), np.int8)
-    cost[0, 0] = 0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            ways = []
-            if i and j:
-                pair = min(cap, slope * abs(a[i - 1] - b[j - 1]) + (vertical[i - 1][j - 1] if vertical else 0.0))
-                ways.append((cost[i - 1, j - 1] + pair, 1))
-            if i:
-                ways.append((cost[i - 1, j] + skip, 2))
-            if j:
-                ways.append((cost[i, j - 1] + skip, 3))
-            for c, k in ways:
-                if c < cost[i, j]:
-                    cost[i, j], move[i, j] = c, k
+    right, steps = np.array(b, float), np.arange(m + 1) * skip
+    cost, move = steps.copy(), np.full((n + 1, m + 1), 3, np.int8)
+    for i in range(1, n + 1):
+        pair = np.full(m + 1, np.inf)
+        pair[1:] = cost[:-1] + np.minimum(cap, slope * np.abs(a[i - 1] - right) + (np.array(vertical[i - 1]) if vertical else 0.0))
+        up = cost + skip
+        # Skips on the right add up along the row.
+        cost = np.minimum.accumulate(np.minimum(pair, up) - steps) + steps
+        move[i] = np.where(pair <= cost + 1e-12, 1, np.where(up <= cost + 1e-12, 2, 3))
     out: list[tuple[int | None, int | None]] = []
     i, j = n, m
     while i or j:
