@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouping import dealt
+
 
 def lcs(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of a longest common subsequence: matches are taken as they come, and of equal ways the left side goes on."""
@@ -79,7 +81,7 @@ def lcs_pairs(left: DataFrame, right: DataFrame, group: str, order: str, value:
 
     kind = {f.name: f.dataType.simpleString() for f in left.schema}
     schema = f"`{group}` {kind[group]}, left_order {kind[order]}, right_order {kind[order]}"
-    return left.select(group, order, value).groupBy(group).cogroup(_other(right, group, order, value).groupBy(f"right_{group}")).applyInPandas(pair, schema)
+    return dealt(left.select(group, order, value), group).groupBy(group).cogroup(dealt(_other(right, group, order, value), f"right_{group}").groupBy(f"right_{group}")).applyInPandas(pair, schema)
 
 
 def line_alignment(left: DataFrame, right: DataFrame, group: str, order: str, value: str) -> DataFrame:
@@ -94,4 +96,4 @@ def line_alignment(left: DataFrame, right: DataFrame, group: str, order: str, va
         return pd.DataFrame(rows, columns=[group, "left_order", "right_order"]).astype({"left_order": "Int64", "right_order": "Int64"})
 
     schema = f"`{group}` {left.schema[group].dataType.simpleString()}, left_order long, right_order long"
-    return left.select(group, order, value).groupBy(group).cogroup(_other(right, group, order, value).groupBy(f"right_{group}")).applyInPandas(pair, schema)
+    return dealt(left.select(group, order, value), group).groupBy(group).cogroup(dealt(_other(right, group, order, value), f"right_{group}").groupBy(f"right_{group}")).applyInPandas(pair, schema)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouping import dealt
+
 
 def anchor_clusters(rows: DataFrame, group: list[str], y: str, x: str, size: str, index: str) -> DataFrame:
     """rows with cluster: a new one begins where y lies more than half the row's size from the cluster's first row.
@@ -23,7 +25,7 @@ def anchor_clusters(rows: DataFrame, group: list[str], y: str, x: str, size: str
         return pdf.assign(cluster=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy(*group).applyInPandas(fold, f"{schema}, cluster long")
+    return dealt(rows, *group).groupBy(*group).applyInPandas(fold, f"{schema}, cluster long")
 
 
 def chain_clusters(rows: DataFrame, group: list[str], order: list[str], value: Column, gap: Column) -> DataFrame:

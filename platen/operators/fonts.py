@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouping import dealt
+
 
 def style_consensus(lines: DataFrame, region: str, italic: str, scores: dict[str, str], margin: float = 0.04, share: float = 0.6) -> DataFrame:
     """region, slant, weight, observed: one decision out of a region's lines.
@@ -76,7 +78,7 @@ def token_fonts(tokens: DataFrame, glyphs: DataFrame, page: str) -> DataFrame:
 
     other = glyphs.select(F.col(page).alias("glyph_page"), F.col("glyph_index"), F.col("text").alias("text"), "font")
     kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
-    return tokens.select(page, "token", "text").groupBy(page).cogroup(other.groupBy("glyph_page")).applyInPandas(align, f"`{page}` {kinds[page]}, token {kinds['token']}, font string")
+    return dealt(tokens.select(page, "token", "text"), page).groupBy(page).cogroup(dealt(other, "glyph_page").groupBy("glyph_page")).applyInPandas(align, f"`{page}` {kinds[page]}, token {kinds['token']}, font string")
 
 
 def word_starts(predicted: list[float], candidates: list[tuple[float, float]], reach: float = 12.0) -> list[float] | None:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouping import dealt
+
 
 def by_index(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The i-th cluster of one side meets the i-th of the other; a surplus stays alone."""
@@ -93,4 +95,4 @@ def grouped_regions(lines: DataFrame, page: str, share: float = 0.2, gap: float
         return pdf.assign(region=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.groupBy(page).applyInPandas(fold, f"{schema}, region long")
+    return dealt(lines, page).groupBy(page).applyInPandas(fold, f"{schema}, region long")

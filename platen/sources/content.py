@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platen.operators.grouping import dealt
+
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
@@ -248,4 +250,4 @@ def glyphs(operations: DataFrame, page: str, widths: DataFrame, fonts: DataFrame
 
     kind = operations.schema[page].dataType.simpleString()
     schema = f"`{page}` {kind}, glyph_index long, code long, x double, y double, advance double, font string, size double, mode long, diagnostic string"
-    return operations.select(page, "op_index", "op", "numbers", "name", "items").groupBy(page).applyInPandas(fold, schema)
+    return dealt(operations.select(page, "op_index", "op", "numbers", "name", "items"), page).groupBy(page).applyInPandas(fold, schema)
