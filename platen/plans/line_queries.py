@@ -210,9 +210,9 @@ def ink_runs(spark, sf_dir):
 
 @query(None)
 def lcs_pairs(spark, sf_dir):
-    """Lines of a document and of the next one, aligned by equal text."""
-    left, right = sides(lines_of(spark, sf_dir))
-    return align.lcs_pairs(left.withColumn("pair", F.floor(F.col("doc_id") / 2)), right.withColumn("pair", F.floor(F.col("doc_id") / 2)), "pair", "line_no", "line")
+    """Lines of a document and of the next one, aligned by the two letters that they begin with."""
+    rows = lines_of(spark, sf_dir).withColumn("pair", F.floor(F.col("doc_id") / 2)).withColumn("head", F.left("line", F.lit(2)))
+    return align.lcs_pairs(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "pair", "line_no", "head")
 
 
 @query(None)
