@@ -23,8 +23,8 @@ SAMPLE, PIVOTS = 8192, 64
 
 
 def whole_numbers(vector: Column, scale: float = 256.0) -> Column:
-    """floor(scale * component) of each component, as doubles."""
-    return F.transform(vector.cast("array<double>"), lambda v: F.floor(v * scale).cast("double"))
+    """floor(scale * component) of each component, as doubles; null for a vector that isn't valid, for floor would make NaN and infinity finite."""
+    return F.when(finite(vector), F.transform(vector.cast("array<double>"), lambda v: F.floor(v * scale).cast("double")))
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:

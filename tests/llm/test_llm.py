@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from platen.llm import boosting, bpe, hmm, lines, packing, quality, quantise, simhash, toxicity, voronoi, warc
+from platen.llm import boosting, bpe, hmm, lines, packing, quality, quantise, queries, simhash, toxicity, voronoi, warc
 from platen.llm.common import components, spanning
 
 P = pytest.importorskip("public_tokenizers")
@@ -226,6 +226,23 @@ def test_voronoi_join(spark):
     assert voronoi.top_k(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_voronoi_query_leaves_out_invalid_vectors(spark, tmp_path):
+    rng = np.random.default_rng(16)
+    x = rng.uniform(-1, 1, (120, 4))
+    odd = [float("nan"), float("inf"), float("-inf"), None]
+    bad = {3 + 50 * n: [v, 0.5, 0.5, 0.5] for n, v in enumerate(odd)} | {200 + 50 * n: [0.5, v, 0.5, 0.5] for n, v in enumerate(odd)}
+    rows = [(i, v.tolist()) for i, v in enumerate(x) if i not in bad] + list(bad.items())
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = sorted(map(tuple, queries.op8_voronoi(spark, str(tmp_path)).collect()))
+    whole = np.floor(256 * x.astype(np.float32).astype(float))
+    scores = (whole @ whole.T).astype(int)
+    wanted = []
+    for q in range(0, len(x), 50):
+        best = sorted((-scores[q, j], j) for j in range(len(x)) if j != q and j not in bad)[:5]
+        wanted += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert made == wanted
+
+
 def test_warc(spark):
     long = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n\r\n" + "é" * 50
     rows = [(3, "http://a/\r\nb", long), (1, None, "tiny"), (2, "u", "tiny"), (5, "u", long), (9, "u", None), (8, "u", ""), (4, "u", long), (4, "u", long), (7, "u", long + "!"), (None, "u", long)]
