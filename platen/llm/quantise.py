@@ -1,13 +1,13 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors lie in inverted lists of coarse centroids; what is left of them after the centroid is coded by
-subspaces. A vector probes each list that can hold one near enough: the distance to the plane between its own
-centroid and the list's is a lower bound. In a list, tables of a query's distances to code words give its
-distance to each coded member; with the member's own coding error this bounds the true distance exactly, and
-only pairs that pass are compared. The plane is given SPREAD standard deviations of how far a difference of that
-length reaches along one direction, if it favours none; up to SPREAD squared dimensions that is its whole length,
-and probing is exact. Centroids are fitted on a bounded sample, their number grows with the square root of
-the vectors, and every vector is indexed.
+subspaces. Two vectors of different lists lie on either side of the plane between the lists' centroids, and their
+distances to it add up to at most their own distance. So a vector probes each list whose plane is within half the
+reach: of any pair near enough one at least meets the other, and where only one does, both are credited by it.
+In a list, tables of a query's distances to code words give its distance to each coded member; with the
+member's own coding error this bounds the true distance exactly, and only pairs that pass are compared.
+Centroids are fitted on a bounded sample, their number grows with the square root of the vectors, and every
+vector is indexed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import components, spanning, stored
 from .vectors import batches_of, bounded_sample, finite, kmeans, matrix, meet, packed, squares, unpacked
 
-SAMPLE, SUBSPACES, WORDS, SPREAD = 8192, 16, 32, 4.0
+SAMPLE, SUBSPACES, WORDS = 8192, 16, 32
 
 
 @dataclass
@@ -52,13 +52,13 @@ class Index:
             error += ((part - w[codes[:, s]]) ** 2).sum(1)
         return codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists besides its own that can hold a vector within reach."""
+    def probes(self, x: np.ndarray, own: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists besides its own whose plane is within margin."""
         d = squares(x, self.coarse)
         gap = np.sqrt(squares(self.coarse, self.coarse))[own]
         plane = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * gap, 1e-12)
         plane[np.arange(len(x)), own] = np.inf
-        return np.nonzero((plane <= reach + 1e-6) | ((gap < 1e-9) & np.isfinite(plane)))
+        return np.nonzero((plane <= margin + 1e-6) | ((gap < 1e-9) & np.isfinite(plane)))
 
     def distances(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric: of queries' rests to coded members, from tables."""
@@ -95,7 +95,6 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     sample = bounded_sample(classes, "id", "x", SAMPLE, width)
     shared = spark.sparkContext.broadcast(Index.fit(unit(sample), int(2 * np.sqrt(n))))
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    margin = reach * min(1.0, SPREAD / np.sqrt(width))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -103,15 +102,19 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
             x = unit(matrix(batch.column(2), width))
             own = squares(x, index.coarse).argmin(1)
             codes, error = index.code(x - index.coarse[own])
-            row, g = index.probes(x, own, margin)
+            row, g = index.probes(x, own, reach / 2)
+            seen = np.zeros((len(x), len(index.coarse)), bool)
+            seen[np.arange(len(x)), own] = seen[row, g] = True
             data, code = packed(x), packed(codes)
             every = np.concatenate([np.arange(len(x)), row])
             first = np.arange(len(every)) < len(x)
             columns = [pa.array(np.concatenate([own, g])), batch.column(0).take(pa.array(every)), batch.column(1).take(pa.array(every)), data.take(pa.array(every))]
-            columns += [pa.array([c if f else None for c, f in zip(code.take(pa.array(every)).to_pylist(), first.tolist(), strict=True)], pa.binary()), pa.array(error[every]), pa.array(first)]
-            yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "copies", "data", "code", "error", "own"])
+            for once in (code, packed(np.packbits(seen, axis=1))):
+                columns.append(pa.array(once.to_pylist() + [None] * len(row), pa.binary()))
+            columns += [pa.array(error[every]), pa.array(first), pa.array(own[every])]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "copies", "data", "code", "seen", "error", "own", "home"])
 
-    lists = classes.select(F.col("id").cast("long").alias("id"), "copies", "x").mapInArrow(place, "g long, id long, copies long, data binary, code binary, error double, own boolean")
+    lists = classes.select(F.col("id").cast("long").alias("id"), "copies", "x").mapInArrow(place, "g long, id long, copies long, data binary, code binary, seen binary, error double, own boolean, home long")
     lists = stored(lists, "lists")
 
     def solve(members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -122,7 +125,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         y, codes, error = unpacked(members.column("data")), unpacked(members.column("code"), np.uint8), members.column("error").to_numpy()
         centre = index.coarse[members.column("g")[0].as_py()]
         y_id, copies, q_id = members.column("id").to_numpy(), members.column("copies").to_numpy(), queries.column("id").to_numpy()
-        q = unpacked(queries.column("data"))
+        q, home, q_copies = unpacked(queries.column("data")), queries.column("home").to_numpy(), queries.column("times").to_numpy()
+        seen = np.unpackbits(unpacked(members.column("seen"), np.uint8), axis=1)
         pairs = []
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
@@ -136,15 +140,18 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         if not len(found):
             return empty
         links = np.bincount(found[:, 0], copies[found[:, 1]], len(q)).astype(np.int64)
+        alone = found[seen[found[:, 1], home[found[:, 0]]] == 0]  # the member doesn't probe the query's list
+        back = np.bincount(alone[:, 1], q_copies[alone[:, 0]], len(y)).astype(np.int64)
         names, node = np.unique(np.concatenate([q_id, y_id]), return_inverse=True)
         root = names[spanning(len(names), node[found[:, 0]], node[len(q) + found[:, 1]])]
         total = np.zeros(len(names), np.int64)
-        total[node[: len(q)]] = links
+        np.add.at(total, node, np.concatenate([links, back]))
         use = (total > 0) | (root != names)
         return pa.table({"id": names[use].astype(np.int64), "links": total[use], "root": root[use].astype(np.int64)})
 
-    members = lists.where("own").select("g", "id", "copies", "data", "code", "error")
-    found = stored(meet(members, lists.select("g", "id", "data"), solve, "id long, links long, root long"), "links")
+    members = lists.where("own").select("g", "id", "copies", "data", "code", "seen", "error")
+    queries = lists.select("g", "id", "data", "home", F.col("copies").alias("times"))
+    found = stored(meet(members, queries, solve, "id long, links long, root long"), "links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
     whole = classes.select("h1", "h2", "id", "copies").join(linked, "id", "left").join(grouped.withColumnRenamed("node", "id"), "id", "left")

@@ -209,6 +209,19 @@ def test_quantised_links(spark):
     assert quantise.near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("width", [64, 160])
+def test_quantised_links_of_low_rank(spark, width):
+    rng = np.random.default_rng(14)
+    base = rng.standard_normal((1600, 4))
+    x = np.concatenate([base, base[:500] + 0.15 * rng.standard_normal((500, 4)), base[:40]]) @ rng.standard_normal((4, width))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.99) & ~np.eye(len(x), dtype=bool)
+    root = spanning(len(x), *np.nonzero(near))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    made = {r.vec_id: (r.n_links, r.component_id) for r in quantise.near_duplicates(df, cosine=0.99).collect()}
+    assert made == {i: (int(near[i].sum()), int(root[i])) for i in range(len(x))}
+
+
 def test_voronoi_join(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([np.floor(256 * rng.uniform(-1, 1, (300, 5))), np.zeros((4, 5))])
