@@ -1,8 +1,8 @@
 """From documents to packed training sequences, in five stages.
 
 quality: documents that the additive model scores under GOOD go. toxicity: those whose restored text scores
-TOXIC or more go. lines: lines of windows that stood before go. near_duplicates: of each group of near copies
-the document with the smallest doc_id stays. packing: what is left, as pieces of sequences.
+TOXIC or more go. lines: lines of windows that stood before go. near_duplicates: of each group of near copies,
+by a Jaccard similarity of 0.8 or more of their five-word shingles, the document with the smallest doc_id stays. packing: what is left, as pieces of sequences.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import lines, packing, quality, simhash, toxicity
+from platen.llm import lines, packing, quality, shingles, toxicity
 from platen.llm.common import remainder, stored, table
 
 GOOD, TOXIC = 0.5, 0.5
@@ -36,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return shingles.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platen.llm import quality, simhash, toxicity
+from platen.llm import quality, shingles, simhash, toxicity
 from platen.llm.common import remainder, spanning, stored, table
 
 from .test_llm import brute_lines
@@ -53,3 +53,20 @@ def test_stages(spark):
     assert {r.doc_id for r in whole} == set(kept(single)) and all(r.whole for r in whole)
     key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert sum(r[2] for r in key(packed)) == sum(r[2] for r in key(corpus_pipeline.run(spark, SF)))
+
+
+def test_near_duplicates_reach_jaccard(spark):
+    rng = np.random.default_rng(23)
+    body = [f"w{n}" for n in rng.integers(0, 5000, 240)]
+    texts = [" ".join(f"v{n}" for n in rng.integers(0, 5000, 90)) for _ in range(20)] + [" ".join(body), " ".join(body).upper(), "", " ", "one two"]
+    for n in range(30):
+        own = list(body)
+        for at in rng.integers(0, 240, n % 9):
+            own[at] = f"x{n}"
+        texts.append(" ".join(own))
+    sets = [shingles.shingles(shingles.words_of(t)) for t in texts]
+    near = [[shingles.jaccard(x, y) >= 0.8 for y in sets] for x in sets]
+    root = spanning(len(texts), *np.nonzero(near))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(20, texts[20]), (None, "one two")], "doc_id long, text string")
+    made = sorted((r.doc_id is None, r.doc_id) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert made == [*((False, k) for k in sorted(set(root.tolist()))), (True, None)]
