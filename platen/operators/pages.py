@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .grouping import dealt
 
+#: Formats that are sent to all tasks.
+FORMATS = 64
+
 
 def by_index(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The i-th cluster of one side meets the i-th of the other; a surplus stays alone."""
@@ -58,9 +61,11 @@ def diagonal_runs(pairs: DataFrame, group: list[str], left: str, right: str) ->
 
 
 def best_format(pages: DataFrame, formats: DataFrame, page: str, width: Column, height: Column, most: float) -> DataFrame:
-    """page, format: the smallest larger error, then sum of errors, then name; null above most. formats (name, w, h): a short list, sent to all tasks."""
+    """page, format: the smallest larger error, then sum of errors, then name; null above most. formats (name, w, h): at most FORMATS rows, sent to all tasks; more are an error."""
+    if formats.limit(FORMATS + 1).count() > FORMATS:
+        raise ValueError(f"more than {FORMATS} formats")
     ew, eh = F.abs(width / F.col("w") - 1), F.abs(height / F.col("h") - 1)
-    pairs = pages.withColumn("__one", F.lit(1)).join(F.broadcast(formats.limit(64).withColumn("__one", F.lit(1))), "__one")
+    pairs = pages.withColumn("__one", F.lit(1)).join(F.broadcast(formats.withColumn("__one", F.lit(1))), "__one")
     key = F.struct(F.greatest(ew, eh).alias("worst"), (ew + eh).alias("total"), F.col("name").alias("name"))
     made = pairs.groupBy(page).agg(F.min(key).alias("b"))
     return made.select(page, F.when(F.col("b.worst") <= most, F.col("b.name")).alias("format"))

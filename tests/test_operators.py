@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from platen.functions import claims, geometry, status, text
-from platen.operators import aggregate, align, cluster, layout, match, search, validate
+from platen.operators import aggregate, align, cluster, layout, match, pages, search, validate
 
 
 def rows(df):
@@ -165,3 +165,12 @@ def test_fonts(spark):
     lines = spark.createDataFrame([(1, 1, 0.5, 0.4, 0.3), (1, 1, 0.5, 0.4, 0.3), (2, 0, None, 0.1, 0.1), (3, 0, 0.5, 0.5, 0.45)], "r int, i int, g double, l double, b double")
     made = fonts.style_consensus(lines, "r", "i", {"regular": "g", "light": "l", "bold": "b"})
     assert rows(made) == [(1, "italic", "bold", 2), (2, None, None, 0), (3, "normal", "bold", 1)]
+
+
+def test_best_format_refuses_a_long_list(spark):
+    rows = spark.createDataFrame([(1, 100.0, 100.0)], "page int, w0 double, h0 double")
+    formats = spark.createDataFrame([(f"f{n:02}", 164.0 - n, 164.0 - n) for n in range(65)], "name string, w double, h double")
+    best = lambda f: pages.best_format(rows, f, "page", F.col("w0"), F.col("h0"), 0.5).collect()
+    assert [tuple(r) for r in best(formats.where("name > 'f00'"))] == [(1, "f64")]
+    with pytest.raises(ValueError):
+        best(formats)
