@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platen.llm import lines, packing, quality, shingles, toxicity
-from platen.llm.common import remainder, stored, table
+from platen.llm.common import remainder, scratch, stored, table
 
 GOOD, TOXIC = 0.5, 0.5
 
@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, outer=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,13 +21,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, gather
+from .common import Words, blocks, gather, mapped
 
 NONE = np.int32(2**31 - 1)
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 LONG = WIDTHS[-1]
-#: Distinct chunks that a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 700_000
+#: Bytes that a task may spend on remembered chunks (a chunk's own and ENTRY for its places); beyond, it forgets all and goes on.
+REMEMBERED, ENTRY = 48 << 20, 180
 
 
 class Merges:
@@ -152,16 +152,18 @@ class Vocabulary:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.spent = 0
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def chunks(self, chunks: list[str]) -> np.ndarray:
         """The places of these in starts and sizes."""
         new = [x for x in chunks if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED and self.known:
+        if self.spent > REMEMBERED:
             self._forget()
             new = chunks
         if new:
             flat, sizes = self.encode(new)
+            self.spent += sum(map(len, new)) + 4 * len(flat) + ENTRY * len(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)])
             self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
@@ -387,16 +389,6 @@ def documents(vocabulary: Vocabulary, distinct: list[str], chunk: np.ndarray, do
     return ids, np.bincount(doc, weights=sizes, minlength=n).astype(np.int64)
 
 
-_made: dict[tuple, Vocabulary] = {}
-
-
-def vocabulary(kind: type, name: str, *args) -> Vocabulary:
-    """One for each Python worker: tasks after the first find it ready, with the chunks it remembers."""
-    if (kind, name) not in _made:
-        _made[kind, name] = kind(*[x.value if hasattr(x, "value") else x for x in args])
-    return _made[kind, name]
-
-
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids array<int>, decoded binary: each text's ids as the tiktoken library gives them, and the bytes they stand for.
 
@@ -408,7 +400,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id"
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(ByteRanks, f"{ranks} {pattern}", shared, pattern)
+        own = ByteRanks(shared.value, pattern)
         for block in blocks(batches, 1):
             ids, sizes = own.texts(block.column(1))
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -416,7 +408,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id"
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([block.column(0), lists, pa.array(decoded, pa.binary())], names=[key, "ids", "decoded"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
+    return mapped(docs.select(key, text), run, f"`{key}` {kind}, ids array<int>, decoded binary")
 
 
 def fold_in_spark(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", "") or (sc.getCheckpointDir() or "")
     if not at:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("executors share no temporary folder: set spark.checkpoint.dir")
         at = tempfile.mkdtemp(prefix="platen-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -40,10 +44,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/platen/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
-    """df written to the shared folder and read again: what is lost with an executor is not computed anew."""
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving the tables that stored() wrote inside; nothing read from them may outlive it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, *, by: str | None = None, outer: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: what is lost with an executor is not computed anew.
+
+    With outer the table belongs to the scratch() around the innermost one."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if len(_open) > outer:
+        _open[-1 - outer].append(path)
     writer = df.write.option("compression", "zstd")
     if by:
         writer = writer.partitionBy(by)
@@ -61,6 +84,27 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives memory that is free in this Python process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow(run, schema); a worker, which Spark keeps for later tasks, ends each task with no more memory than it began with."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in their order, in blocks of about limit bytes of column number text; a longer text has a block with few others."""
     held: list[pa.RecordBatch] = []

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, parts, stored
+from .common import Words, blocks, mapped, parts, stored
 
 STATES, ITERATIONS, CLASSES = 8, 4, 2048
 BLOCK = 6 << 20
@@ -142,7 +142,7 @@ def _read(docs: DataFrame, key: str, text: str, train: Column, buckets: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
             number += 1
 
-    return docs.select(key, text, train.alias("train")).mapInArrow(run, schema)
+    return mapped(docs.select(key, text, train.alias("train")), run, schema)
 
 
 def _count(words: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def baum_welch(texts: DataFrame, shares: np.ndarray, states: int, iterations: in
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-        rows = texts.select("train", "sizes", "data", "classes").mapInArrow(run, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
+        rows = mapped(texts.select("train", "sizes", "data", "classes"), run, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
         total = np.zeros(states + states * states + (CLASSES + 1) * states)
         for r in rows:
             total[r.i] = r.n

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WordRanks, vocabulary
-from .common import blocks
+from .bpe import WordRanks
+from .common import blocks, mapped
 
 CAPACITY = 4096
 PIECE = 1024
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: s
     columns = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(WordRanks, tokenizer, shared)
+        own = WordRanks(shared.value)
         number = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         total = 0
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: s
             yield flush()
 
     schema = f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(key, text).mapInArrow(run, schema)
+    return mapped(docs.select(key, text), run, schema)
 
 
 def digests(packed: DataFrame, key: str = "doc_id") -> DataFrame:

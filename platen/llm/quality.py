@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Additive, fit
-from .common import Words, blocks
+from .common import Words, blocks, mapped
 
 SAMPLE = 20_000
 
@@ -90,7 +90,7 @@ def _featured(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column(0), flat], names=["key", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, x array<double>")
+    return mapped(docs.select(key, text), run, f"key {kind}, x array<double>")
 
 
 def labelled_sample(labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(shared.value.score(features(block.column(1))))], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return mapped(docs.select(key, text), run, f"`{key}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Additive, least: float, text: str = "text") -> DataFrame:
@@ -131,4 +131,4 @@ def keep_good(docs: DataFrame, model: Additive, least: float, text: str = "text"
         for block in blocks(batches, at):
             yield block.filter(pa.array(shared.value.score(features(block.column(at))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

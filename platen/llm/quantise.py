@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, spanning, stored
+from .common import components, mapped, spanning, stored
 from .vectors import batches_of, bounded_sample, finite, kmeans, matrix, meet, packed, squares, unpacked
 
 SAMPLE, SUBSPACES, WORDS = 8192, 16, 32
@@ -114,7 +114,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
             columns += [pa.array(error[every]), pa.array(first), pa.array(own[every])]
             yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "copies", "data", "code", "seen", "error", "own", "home"])
 
-    lists = classes.select(F.col("id").cast("long").alias("id"), "copies", "x").mapInArrow(place, "g long, id long, copies long, data binary, code binary, seen binary, error double, own boolean, home long")
+    lists = mapped(classes.select(F.col("id").cast("long").alias("id"), "copies", "x"), place, "g long, id long, copies long, data binary, code binary, seen binary, error double, own boolean, home long")
     lists = stored(lists, "lists")
 
     def solve(members: pa.Table, queries: pa.Table) -> pa.Table:

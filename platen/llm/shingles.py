@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, mapped, stored
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 4
 #: Shingles of a text that are permuted at a time.
@@ -63,7 +63,7 @@ def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(made, pa.list_(pa.int64())), batch.column(1)], names=["key", "node", "bands", "text"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, node string, bands array<long>, text string")
+    return mapped(docs.select(key, text), run, f"key {kind}, node string, bands array<long>, text string")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
@@ -75,7 +75,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     left, right = (nodes.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), run, "a string, b string")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:

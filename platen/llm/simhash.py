@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, spanning, stored
+from .common import components, mapped, spanning, stored
 
 BITS = 3
 CHUNK = 512
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return mapped(docs.select(key, text), run, f"`{key}` {kind}, fp long")
 
 
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
@@ -138,7 +138,7 @@ def fingerprint_links(nodes: DataFrame, bits: int = BITS, chunk: int = CHUNK) ->
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("posting", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "fp")
     rows = rows.repartition("posting", "i", "j").sortWithinPartitions("posting", "i", "j")
-    return rows.mapInArrow(lambda it: _spanning_links(it, bits), "a long, b long").distinct()
+    return mapped(rows, lambda it: _spanning_links(it, bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

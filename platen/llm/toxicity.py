@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, gather
+from .common import Words, blocks, gather, mapped, scratch, stored
 from .quality import labelled_sample
 
 SAMPLE = 30_000
@@ -29,6 +29,8 @@ SAMPLE = 30_000
 HEADS = (4, 5, 6)
 #: Documents of the toxic sample that must hold a word before it is evidence, and the evidence it must be.
 LEAST, FLOOR = 3, 1.5
+#: Log probabilities that a character model remembers at a time.
+REMEMBERED = 100_000
 #: Evidence that chance doesn't give, and how many sums of a text's evidence the logistic model weighs.
 STRONG, SUMS = 3.0, 5
 #: What a sign or digit may stand for.
@@ -67,6 +69,8 @@ class CharModel:
     def log(self, context: str, char: str) -> float:
         key = context + char
         if key not in self.logs:
+            if len(self.logs) >= REMEMBERED:
+                self.logs.clear()
             p = 0.0
             for own, (heads, pairs, firsts, singles, total) in zip((self.counts, self.mixed), self.tables, strict=False):
                 one = (singles.get(char, 0) + 0.5) / (total + 20)
@@ -214,6 +218,8 @@ class Toxic:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         x = self.sums(Restored(texts, self.chars))
+        if self.chars is not None:
+            self.chars.logs.clear()
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.base, -40, 40)))
 
 
@@ -251,7 +257,7 @@ def _evidence(texts: DataFrame) -> dict[str, float]:
                 every = np.bincount(code, minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(bad.astype(np.int64)), pa.array((every - bad).astype(np.int64))], names=["word", "bad", "good"])
 
-    counts = texts.select("text", "y").mapInArrow(run, "word string, bad long, good long")
+    counts = mapped(texts.select("text", "y"), run, "word string, bad long, good long")
     totals = texts.agg(F.sum("y"), F.count("*")).first()
     bad, good = float(totals[0] or 0), float((totals[1] or 0) - (totals[0] or 0))
     ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
@@ -293,7 +299,7 @@ def char_counts(docs: DataFrame, text: str = "text") -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["code", "n"])
 
     chars = LETTERS + "^$"
-    rows = docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(docs.select(text), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     return {chars[r.code // 784] + chars[r.code // 28 % 28] + chars[r.code % 28]: float(r.n) for r in rows}
 
 
@@ -311,27 +317,28 @@ def word_counts(words: dict[str, float], total: float) -> dict[str, float]:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Toxic:
     """From at most sample labelled rows (those of the smallest hashed keys): half for evidence, half for the logistic
     model. The character model counts all of docs. Without labelled rows every score is the same."""
-    chosen = labelled_sample(labels, key, label, sample)
-    # Of a bounded number of rows.
-    texts = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen.withColumnRenamed(key, "key")), "key")
-    half = F.pmod(F.xxhash64(F.lit("half"), "key"), F.lit(2))
-    evidence = _evidence(texts.where(half == 0))
-    words = {w: n for w, n in evidence.items() if not w.endswith(" ") and re.fullmatch("[a-z]{4,}", w)}
-    words = dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:500])
-    counts = char_counts(docs, text)
-    chars = CharModel(counts, word_counts(words, 2000.0)) if counts else None
-    if not evidence:
-        return Toxic(chars, {"\x00": 0.0}, np.zeros(SUMS), logistic(np.zeros((0, SUMS)), np.zeros(0))[1])
-    model = Toxic(chars, evidence, np.zeros(SUMS), 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, 1):
-            x = shared.value.sums(Restored(block.column(1), shared.value.chars))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * SUMS, x.ravel()), block.column(2)], names=["x", "y"])
-
-    made = texts.where(half == 1).select("key", "text", "y").mapInArrow(run, "x array<double>, y double")
-    rows = np.array(sorted((*r.x, r.y) for r in made.collect())).reshape(-1, SUMS + 1)
+    spark = docs.sparkSession
+    with scratch(spark):
+        chosen = labelled_sample(labels, key, label, sample)
+        # Of a bounded number of rows.
+        texts = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen.withColumnRenamed(key, "key")), "key")
+        texts = stored(texts.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "key"), F.lit(2))), "labelled")
+        evidence = _evidence(texts.where("half = 0"))
+        words = {w: n for w, n in evidence.items() if not w.endswith(" ") and re.fullmatch("[a-z]{4,}", w)}
+        counts = char_counts(docs, text)
+        chars = CharModel(counts, word_counts(words, 2000.0)) if counts else None
+        if not evidence:
+            return Toxic(chars, {"\x00": 0.0}, np.zeros(SUMS), logistic(np.zeros((0, SUMS)), np.zeros(0))[1])
+        shared = spark.sparkContext.broadcast(Toxic(chars, evidence, np.zeros(SUMS), 0.0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches, 0):
+                x = shared.value.sums(Restored(block.column(0), shared.value.chars))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * SUMS, x.ravel()), block.column(1)], names=["x", "y"])
+
+        made = mapped(texts.where("half = 1").select("text", "y"), run, "x array<double>, y double")
+        rows = np.array(sorted((*r.x, r.y) for r in made.collect())).reshape(-1, SUMS + 1)
+        shared.destroy()
     weights, base = logistic(rows[:, :-1], rows[:, -1])
     return Toxic(chars, evidence, weights, base)
 
@@ -345,7 +352,7 @@ def score(docs: DataFrame, model: Toxic, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(shared.value.score(block.column(1)))], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return mapped(docs.select(key, text), run, f"`{key}` {kind}, score double")
 
 
 def keep_clean(docs: DataFrame, model: Toxic, most: float, text: str = "text") -> DataFrame:
@@ -357,7 +364,7 @@ def keep_clean(docs: DataFrame, model: Toxic, most: float, text: str = "text") -
         for block in blocks(batches, at):
             yield block.filter(pa.array(shared.value.score(block.column(at)) < most))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def restored_text(text: str | None, model: CharModel) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mapped, stored
 from .vectors import batches_of, bounded_sample, finite, kmeans, matrix, meet, packed, squares, unpacked
 
 SAMPLE, PIVOTS = 8192, 64
@@ -54,7 +54,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vec
             columns = [pa.array(own), batch.column(0), packed(x), pa.array(far), pa.array(np.sqrt((x * x).sum(1))), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "data", "far", "norm", "asks"])
 
-    placed = stored(valid.mapInArrow(place, "g long, id long, data binary, far double, norm double, asks boolean"), "placed")
+    placed = stored(mapped(valid, place, "g long, id long, data binary, far double, norm double, asks boolean"), "placed")
     summary = {r.g: (r.far, r.norm) for r in placed.groupBy("g").agg(F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
     groups = np.array(sorted(summary))
     far, norm = (np.array([summary[g][n] for g in groups]) for n in (0, 1))
@@ -97,7 +97,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vec
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(groups[to]), batch.column(1).take(at), batch.column(2).take(at)], names=["g", "id", "data"])
 
-    sent = asked.join(floor, "id", "left").select("g", "id", "data", "floor").mapInArrow(send, "g long, id long, data binary")
+    sent = asked.join(floor, "id", "left").select("g", "id", "data", "floor")
+    sent = mapped(sent, send, "g long, id long, data binary")
     every = local.union(meet(members, sent, solve, schema))
     ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias("query_id"), "rank", F.col("other").alias("vec_id"), "score")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import mapped, shared_path, stored
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -143,7 +143,7 @@ def read_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFra
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     schema = "key long, url string, record_type string, refers_to long, digest string, size long" + ", block binary" * blocks
-    return files.mapInArrow(run, schema)
+    return mapped(files, run, schema)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:

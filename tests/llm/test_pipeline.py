@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platen.llm import quality, shingles, simhash, toxicity
+from platen.llm import quality, shingles, toxicity
 from platen.llm.common import remainder, spanning, stored, table
 
 from .test_llm import brute_lines
@@ -43,8 +43,8 @@ def test_stages(spark):
 
     single = stored(stages["near_duplicates"](spark, short, SF), "t4")
     rows = sorted(kept(short).items())
-    prints = [int.from_bytes(simhash.fingerprint(t), "big") for _, t in rows]
-    a, b = np.nonzero([[(x ^ y).bit_count() <= 3 for y in prints] for x in prints])
+    sets = [shingles.shingles(shingles.words_of(t)) for _, t in rows]
+    a, b = np.nonzero([[shingles.jaccard(x, y) >= 0.8 for y in sets] for x in sets])
     root = spanning(len(rows), a, b)
     assert single.columns == docs.columns and kept(single) == {k: t for n, (k, t) in enumerate(rows) if root[n] == n}
 
