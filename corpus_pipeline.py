@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import lines, packing, quality, shingles, toxicity
+from platen.llm import lines, packing, quality, simhash, toxicity
 from platen.llm.common import remainder, scratch, stored, table
 
 GOOD, TOXIC = 0.5, 0.5
@@ -36,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.keep_one(docs)
+    return simhash.keep_one(docs, similar=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

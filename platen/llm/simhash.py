@@ -21,10 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import components, mapped, spanning, stored
 
 BITS = 3
 CHUNK = 512
+#: Shingles of the texts that a chunk of near_copies() holds, about.
+HASHES = 2_000_000
 #: Shingles of a text that are hashed at a time.
 SLICE = 1 << 18
 
@@ -158,9 +161,74 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest key, once if it is repeated. Rows without a key stay."""
-    marked = near_duplicates(docs, key, text)
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = shingles.SIMILAR, width: int = shingles.WORDS) -> DataFrame:
+    """key, component_id: texts linked at a Jaccard similarity of their word shingles; component_id is the smallest key reachable.
+
+    Fingerprints of such texts differ in about 10 of 64 bits, beyond what the byte index guarantees, so that it gives only
+    some of the candidates here; min-wise bands give the others. Texts of equal words are one node. First each node is compared with
+    nodes of its own fingerprint or within BITS of it, and in each band with the node whose bands are the most frequent. Then
+    bands that hold more than one component are compared in chunks of bounded size, texts of different components only; what
+    comes out are links between components, not pairs. Every similarity is computed on whole sets of shingles.
+
+    A row per row of docs with a key; rows without one are left out. Null, empty and blank texts are one node without shingles, and
+    link with nothing else. Repeated rows are of one node. Other columns are not read. An empty table gives an empty one.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    marked = mapped(rows, lambda it: shingles.marks(it, width), f"key {kind}, node string, fp long, many long, bands array<long>")
+    marked = stored(marked, "marked")
+    nodes = marked.groupBy("node").agg(F.min("key").alias("least"), *[F.first(x).alias(x) for x in ("fp", "many", "bands")])
+    nodes = stored(nodes, "nodes")
+
+    postings = nodes.select("node", "many", F.explode("bands").alias("band"))
+    lists = postings.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # At most BANDS entries for each node.
+    ranked = postings.join(lists, "band").groupBy("node", "many").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("ranked"))
+    weight = F.aggregate("ranked", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    few = F.slice("ranked", 1, F.greatest(F.size("ranked") - (shingles.SHARED - 1), F.lit(0)))
+    postings = ranked.select("node", "many", weight.alias("weight"), F.explode(F.transform(few, lambda x: x["band"])).alias("band"))
+    postings = stored(postings, "postings")
+    hubs = postings.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    stars = postings.join(hubs.select("band", F.col("hub.node").alias("a")), "band").where("node <> a").select("a", F.col("node").alias("b"))
+    prints = stored(nodes.where("many > 0").groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = nodes.join(prints, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = fingerprint_links(prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+    near = near.join(prints.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    stars = stored(stars.union(same).union(near).distinct(), "stars")
+
+    used = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(postings.select("node")).distinct()
+    used = nodes.join(used, "node", "left_semi").select("node", F.col("least").alias("key"))
+    sets = mapped(rows.join(used, "key").select("node", "text"), lambda it: shingles.sets_of(it, width), "node string, own array<long>")
+    sets = stored(sets.dropDuplicates(["node"]), "sets")
+    pairs = stars.join(sets.withColumnRenamed("node", "b").withColumnRenamed("own", "y"), "b")
+    pairs = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("own", "x"), "a")
+    both = F.size(F.array_intersect("x", "y"))
+    found = components(stored(pairs.where(both / (F.size("x") + F.size("y") - both) >= similar).select("a", "b"), "links"))
+
+    held = postings.join(found, "node", "left").select("band", "node", "many", F.coalesce("component", "node").alias("part"))
+    held = stored(held, "held")
+    names = [F.bit_xor(F.xxhash64(F.lit(n), "node")).alias(f"x{n}") for n in range(2)]
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("many") / HASHES)).cast("int").alias("chunks")
+    bands = held.groupBy("band").agg((F.min("part") < F.max("part")).alias("open"), chunks, F.count("*").alias("n"), *names).where("open")
+    bands = bands.groupBy("n", "x0", "x1").agg(F.min("band").alias("band"), F.max("chunks").alias("chunks"))  # one of bands with the same nodes
+    held = held.join(bands.select("band", "chunks"), "band").join(sets, "node")
+    held = held.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.select("band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "part", "own")
+    held = held.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = stored(mapped(held, lambda it: shingles.across(it, similar), "a string, b string").distinct(), "more")
+    again = components(more).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+
+    whole = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part")).join(again, "part", "left")
+    whole = stored(whole.select("node", "least", F.coalesce("whole", "part").alias("whole")), "whole")
+    least = whole.groupBy("whole").agg(F.min("least").alias("component_id"))
+    return marked.select("key", "node").join(whole.join(least, "whole").select("node", "component_id"), "node").select(F.col("key").alias(key), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float | None = None) -> DataFrame:
+    """The rows of docs, one of each component: that with the smallest key, once if it is repeated. Rows without a key stay.
+
+    Components are those of near_duplicates(), or with similar those of near_copies() at that similarity."""
+    marked = near_duplicates(docs, key, text) if similar is None else near_copies(docs, key, text, similar)
     kept = stored(marked.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")), "kept")
     out = docs.join(kept.select(key), key, "left_semi").select(*docs.columns)
     if not kept.where("rows > 1").isEmpty():

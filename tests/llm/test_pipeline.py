@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platen.llm import quality, shingles, toxicity
+from platen.llm import quality, simhash, toxicity
 from platen.llm.common import remainder, spanning, stored, table
 
 from .test_llm import brute_lines
@@ -18,6 +19,14 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
+def components_by_jaccard(texts):
+    """The smallest number that each text reaches over all pairs at 0.8; texts without words are one."""
+    words = [re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    near = [[x == y or len(x & y) / max(1, len(x | y)) >= 0.8 for y in sets] for x in sets]
+    return spanning(len(texts), *np.nonzero(near))
+
+
 def kept(df):
     return {r.doc_id: r.text for r in df.collect()}
 
@@ -43,9 +52,7 @@ def test_stages(spark):
 
     single = stored(stages["near_duplicates"](spark, short, SF), "t4")
     rows = sorted(kept(short).items())
-    sets = [shingles.shingles(shingles.words_of(t)) for _, t in rows]
-    a, b = np.nonzero([[shingles.jaccard(x, y) >= 0.8 for y in sets] for x in sets])
-    root = spanning(len(rows), a, b)
+    root = components_by_jaccard([t for _, t in rows])
     assert single.columns == docs.columns and kept(single) == {k: t for n, (k, t) in enumerate(rows) if root[n] == n}
 
     packed = stages["packing"](spark, single, SF)
@@ -64,9 +71,26 @@ def test_near_duplicates_reach_jaccard(spark):
         for at in rng.integers(0, 240, n % 9):
             own[at] = f"x{n}"
         texts.append(" ".join(own))
-    sets = [shingles.shingles(shingles.words_of(t)) for t in texts]
-    near = [[shingles.jaccard(x, y) >= 0.8 for y in sets] for x in sets]
-    root = spanning(len(texts), *np.nonzero(near))
+    root = components_by_jaccard(texts)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(20, texts[20]), (None, "one two")], "doc_id long, text string")
     made = sorted((r.doc_id is None, r.doc_id) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert made == [*((False, k) for k in sorted(set(root.tolist()))), (True, None)]
+
+
+def test_near_copies_in_chunks(spark, monkeypatch):
+    """Chains and groups whose middle is missing, in chunks of few texts."""
+    rng = np.random.default_rng(29)
+    texts = []
+    for _ in range(6):
+        body = [f"w{n}" for n in rng.integers(0, 900, 150)]
+        for _ in range(25):
+            own = list(body)
+            for at in rng.integers(0, 150, rng.integers(1, 9)):
+                own[at] = f"x{rng.integers(0, 90)}"
+            texts.append(" ".join(own))
+    root = components_by_jaccard(texts)
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("band", F.lit(1))
+    made = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert made == dict(enumerate(root.tolist())) and len(set(made.values())) > 6
+    assert simhash.near_copies(docs.limit(0)).collect() == []
