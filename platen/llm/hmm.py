@@ -5,10 +5,9 @@ and a class emits its words by their counts in the training texts; an unseen wor
 half a count. Latent states are trained by Baum-Welch: each task sums expected counts of its texts, Spark
 adds them up. The scaled forward recursion gives a text's exact likelihood.
 
-Texts are read once, into blocks: word numbers in order, and the block's distinct words, dealt out by hash
-so that a word's counts of all blocks meet in one task. These return to the blocks, not to single texts:
-what moves is each block's vocabulary, and no word is a hot key. The number of such tasks is that of shuffle
-partitions, which grows with the input. The model itself has a fixed size.
+Texts are read once, into blocks: word numbers in order, and a row for each distinct word of a block. Counts of
+words are sums with partial aggregates, which a join brings back to the rows of the blocks; Spark can split both for a
+word that stands in every block. The model itself has a fixed size.
 """
 
 from __future__ import annotations
@@ -19,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mapped, parts, stored
+from .common import Words, blocks, mapped, stored
 
 STATES, ITERATIONS, CLASSES = 8, 4, 2048
 BLOCK = 6 << 20
@@ -110,73 +110,33 @@ def expected(model: Model, classes: np.ndarray, layout: Layout) -> tuple[np.ndar
     return start.astype(float), moves * model.step, counts, float(logs.sum())
 
 
-def _read(docs: DataFrame, key: str, text: str, train: Column, buckets: int) -> DataFrame:
-    """kind 0: a block, its keys, whether they train, sizes with the end, word numbers, words' classes. kind 1: for
-    each bucket the block's words of that hash, in their order, their classes and counts in training texts."""
+def _read(docs: DataFrame, key: str, text: str, train: Column) -> DataFrame:
+    """kind 0: a block, its keys, whether they train, sizes with the end, word numbers, words' classes. kind 1: for each
+    distinct word of the block its number, class and count in the block's training texts."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["kind", "block", "bucket", "keys", "train", "sizes", "data", "classes", "counts"]
-    schema = f"kind int, block long, bucket int, keys array<{kind}>, train array<boolean>, sizes array<int>, data binary, classes binary, counts binary"
+    names = ["kind", "block", "keys", "train", "sizes", "data", "classes", "number", "word", "class", "n"]
+    schema = f"kind int, block long, keys array<{kind}>, train array<boolean>, sizes array<int>, data binary, classes binary, number int, word binary, class int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 32
         for rows in blocks(batches, 1, BLOCK):
             seen = Words(rows.column(1), lower=True)
-            words = seen.words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist() if len(seen.words) else []
-            classes = np.fromiter(map(word_class, words), np.uint16, len(words))
+            words = seen.words.cast(pa.binary()) if len(seen.words) else pa.array([], pa.binary())
+            classes = np.fromiter(map(word_class, words.to_pylist()), np.uint16, len(words))
             trains = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            counts = np.bincount(seen.word[trains[seen.doc]], minlength=len(words)).astype(np.int32)
-            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            # Words are numbered by bucket, so that counts come back as runs.
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words), dtype=np.int32)
-            made = [(0, number, -1, rows.column(0).to_pylist(), trains.tolist(), seen.sizes.tolist(), place[seen.word].tobytes(), classes[order].tobytes(), None)]
-            for b in range(buckets):
-                part = order[bounds[b] : bounds[b + 1]]
-                if len(part):
-                    made.append((1, number, b, None, None, None, b" ".join([words[k] for k in part.tolist()]), classes[part].tobytes(), counts[part].tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(rows.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 3]
-            for some in (made[:1], made[1:]):
-                if some:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
-            number += 1
+            counts = np.bincount(seen.word[trains[seen.doc]], minlength=len(words))
+            kinds = [pa.int32(), pa.int64(), pa.list_(rows.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
+            one = [0, block, rows.column(0).to_pylist(), trains.tolist(), seen.sizes.tolist(), seen.word.astype(np.int32).tobytes(), classes.tobytes(), None, None, None, None]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(one, kinds, strict=True)], names=names)
+            n = len(words)
+            if n:
+                own = [np.ones(n, np.int32), np.full(n, block), None, None, None, None, None, np.arange(n, dtype=np.int32), words, classes.astype(np.int32), counts.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if x is None else pa.array(x, k) if isinstance(x, np.ndarray) else x for x, k in zip(own, kinds, strict=True)], names=names)
+            block += 1
 
     return mapped(docs.select(key, text, train.alias("train")), run, schema)
 
 
-def _count(words: DataFrame) -> DataFrame:
-    """Of kind 1 rows: kind 1 with each block's words' counts over all training texts; kind 2 with class, tokens, distinct words."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        blocks_, data, classes, counts = (rows.column(x).to_pylist() for x in ("block", "data", "classes", "counts"))
-        lists = [x.split(b" ") for x in data]
-        coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
-        code = coded.indices.to_numpy()
-        own = np.frombuffer(b"".join(counts), np.int32)
-        total = np.bincount(code, own, len(coded.dictionary)).astype(np.int64)
-        of = np.zeros(len(coded.dictionary), np.int64)
-        of[code] = np.frombuffer(b"".join(classes), np.uint16)
-        sums = np.bincount(of, total, CLASSES).astype(np.int64)
-        kinds = np.bincount(of[total > 0], minlength=CLASSES)
-        bounds = np.cumsum([0, *map(len, lists)])
-        back = [total[code[a:z]].tobytes() for a, z in zip(bounds, bounds[1:], strict=False)]
-        used = np.flatnonzero(sums).tolist()
-        bucket = rows.column("bucket")[0].as_py()
-        return pa.table({
-            "kind": pa.array([1] * len(back) + [2] * len(used), pa.int32()),
-            "block": pa.array(blocks_ + [None] * len(used), pa.int64()),
-            "bucket": pa.array([bucket] * (len(back) + len(used)), pa.int32()),
-            "counts": pa.array(back + [None] * len(used), pa.binary()),
-            "class": pa.array([None] * len(back) + used, pa.int32()),
-            "tokens": pa.array([None] * len(back) + sums[used].tolist(), pa.int64()),
-            "words": pa.array([None] * len(back) + kinds[used].tolist(), pa.int64()),
-        })
-
-    schema = "kind int, block long, bucket int, counts binary, class int, tokens long, words long"
-    return words.select("block", "bucket", "data", "classes", "counts").groupBy("bucket").applyInArrow(run, schema)
-
-
 def _classes(row: dict, chosen: np.ndarray | None = None) -> tuple[np.ndarray, Layout, np.ndarray]:
     """Of a kind 0 row: tokens' classes by time, their layout, and word numbers in the texts' order; of chosen texts only."""
     sizes = np.array(row["sizes"], np.int64)
@@ -231,30 +191,34 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     Texts are lower-cased in ASCII; words are runs of bytes that aren't ASCII white space; each text ends with an end
     token. Rows where train holds are learnt from. score is the log10 of the model's probability of the text, base_score
     that of single tokens with half a count added. A null or empty text has the end alone. Without training
-    rows both know no word. Repeated rows count, and are scored, each time; an empty table gives an empty one.
+    rows both know no word. Repeated rows count, and are scored, each time, and so do rows without a key; other columns are
+    not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    read = stored(_read(docs, key, text, train, parts(spark)), "words", by="kind")
-    texts = read.where("kind = 0")
-    counted = stored(_count(read.where("kind = 1")), "counts", by="kind")
-    sums = counted.where("kind = 2").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()
-    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
+    read = stored(_read(docs, key, text, train), "words", by="kind")
+    texts = read.where("kind = 0").select("block", "keys", "train", "sizes", "data", "classes")
+    words = read.where("kind = 1").select("block", "number", "word", "class", "n")
+    totals = stored(words.groupBy("word").agg(F.sum("n").alias("total"), F.first("class").alias("class")).where("total > 0"), "totals")
+    sums = totals.groupBy("class").agg(F.sum("total").alias("tokens"), F.count("*").alias("words")).collect()  # a row per class
+    tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
-        tokens[r["class"]], words[r["class"]] = r.tokens, r.words
+        tokens[r["class"]], kinds[r["class"]] = r.tokens, r.words
     ends = int(texts.select(F.sum(F.size(F.filter("train", lambda x: x)))).first()[0] or 0)
-    every, distinct = int(tokens.sum()) + ends, int(words.sum()) + (ends > 0)
+    every, distinct = int(tokens.sum()) + ends, int(kinds.sum()) + (ends > 0)
     shares = (np.append(tokens, ends) + 0.5) / (every + 0.5 * (CLASSES + 1))
     model = baum_welch(texts, shares, states, iterations)
-    inside = np.log10(tokens + 0.5 * (words + 1))
+    inside = np.log10(tokens + 0.5 * (kinds + 1))
     shared = spark.sparkContext.broadcast((model, inside))
     bottom = np.log10(every + 0.5 * (distinct + 1))
 
     def run(rows: pa.Table) -> pa.Table:
         model, inside = shared.value
-        made = rows.to_pylist()
-        row = next(r for r in made if r["kind"] == 0)
-        counts = np.frombuffer(b"".join(r["counts"] for r in sorted((r for r in made if r["kind"] == 1), key=lambda r: r["bucket"])), np.int64)
+        own = pc.is_valid(rows.column("data"))
+        row = rows.filter(own).to_pylist()[0]
+        counts = np.zeros(len(row["classes"]) // 2, np.int64)
+        back = rows.filter(pc.invert(own))
+        counts[back.column("number").to_numpy()] = back.column("total").to_numpy()
         classes, layout, word = _classes(row)
         sizes = np.array(row["sizes"], np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -275,8 +239,8 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             "score": pa.array(likely + within),
         })
 
-    columns = ["kind", "block", "bucket", "keys", "train", "sizes", "data", "classes", "counts"]
-    back = counted.where("kind = 1").select("kind", "block", "bucket", "counts")
-    both = texts.select(*columns).unionByName(back, allowMissingColumns=True)
+    # Words without a count in training texts needn't come back.
+    back = words.join(totals.select("word", "total"), "word").select("block", "number", "total")
+    both = texts.unionByName(back, allowMissingColumns=True)
     schema = f"`{key}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.groupBy("block").applyInArrow(run, schema)
