@@ -3,8 +3,9 @@
 Unit vectors lie in inverted lists of coarse centroids; what is left of them after the centroid is coded by
 subspaces. Two vectors of different lists lie on either side of the plane between the lists' centroids, and their
 distances to it add up to at most their own distance. So a vector probes each list whose plane is within half the
-reach: of any pair near enough one at least meets the other, and where only one does, both are credited by it.
-In a list, tables of a query's distances to code words give its distance to each coded member; with the
+reach: of any pair near enough, the one nearer to the plane meets the other, and both are credited by it.
+Lists that lie together form a shard, and a vector goes once to each shard in which it probes a list. In a
+list, tables of a query's distances to code words give its distance to each coded member; with the
 member's own coding error this bounds the true distance exactly, and only pairs that pass are compared.
 Centroids are fitted on a bounded sample, their number grows with the square root of the vectors, and every
 vector is indexed.
@@ -23,24 +24,29 @@ from pyspark.sql import functions as F
 from .common import components, mapped, spanning, stored
 from .vectors import batches_of, bounded_sample, finite, kmeans, matrix, meet, packed, squares, unpacked
 
-SAMPLE, SUBSPACES, WORDS = 8192, 16, 32
+#: Rows that centroids and code words are fitted on at most; lists at most and in a shard; members and queries that meet at a time.
+SAMPLE, LISTS, SHARD, MOST = 65_536, 8192, 64, (8192, 8192)
+SUBSPACES, WORDS = 16, 32
 
 
 @dataclass
 class Index:
-    """coarse: centroids; words: per subspace its code words, over columns cuts[s]:cuts[s + 1]."""
+    """coarse: centroids; shard: of each list; words: per subspace its code words, over columns cuts[s]:cuts[s + 1]."""
 
     coarse: np.ndarray
+    shard: np.ndarray
     words: list[np.ndarray]
     cuts: list[int]
 
     @staticmethod
     def fit(x: np.ndarray, lists: int, subspaces: int = SUBSPACES, words: int = WORDS) -> Index:
         coarse = kmeans(x, max(1, min(lists, len(x) // 8))) if len(x) else np.zeros((1, x.shape[1]))
+        shard = squares(coarse, kmeans(coarse, -(-len(coarse) // SHARD))).argmin(1)
+        x = x[:: max(1, len(x) // 8192)]
         rest = x - coarse[squares(x, coarse).argmin(1)]
         cuts = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int).tolist()
         made = [kmeans(rest[:, a:z], words) if len(x) else np.zeros((1, z - a)) for a, z in zip(cuts, cuts[1:], strict=False)]
-        return Index(coarse, made, cuts)
+        return Index(coarse, shard, made, cuts)
 
     def code(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and how far each coded vector is from the true one."""
@@ -52,13 +58,18 @@ class Index:
             error += ((part - w[codes[:, s]]) ** 2).sum(1)
         return codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, own: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists besides its own whose plane is within margin."""
+    def probes(self, x: np.ndarray, own: np.ndarray, margin: float) -> np.ndarray:
+        """Whether each vector probes each list: its own, and those whose plane is within margin."""
         d = squares(x, self.coarse)
         gap = np.sqrt(squares(self.coarse, self.coarse))[own]
         plane = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * gap, 1e-12)
-        plane[np.arange(len(x)), own] = np.inf
-        return np.nonzero((plane <= margin + 1e-6) | ((gap < 1e-9) & np.isfinite(plane)))
+        return (plane <= margin + 1e-6) | (gap < 1e-9)
+
+    def planes(self, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Each vector's distance to the plane between its own list and another; the same wherever it is computed."""
+        a, b = self.coarse[own], self.coarse[other]
+        gap = np.sqrt(((a - b) ** 2).sum(1))
+        return np.where(gap < 1e-9, 0.0, (((x - b) ** 2).sum(1) - ((x - a) ** 2).sum(1)) / np.maximum(2 * gap, 1e-12))
 
     def distances(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric: of queries' rests to coded members, from tables."""
@@ -92,66 +103,73 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     width, n = classes.agg(F.max(F.size("x")), F.count("*")).first()
     if not width:
         return marked.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").cast("long").alias("component_id"), F.col("key").isNotNull().alias("kept"))
-    sample = bounded_sample(classes, "id", "x", SAMPLE, width)
-    shared = spark.sparkContext.broadcast(Index.fit(unit(sample), int(2 * np.sqrt(n))))
+    lists = int(min(2 * np.sqrt(n), LISTS))
+    sample = bounded_sample(classes, "id", "x", min(SAMPLE, max(8192, 8 * lists)), width)
+    shared = spark.sparkContext.broadcast(Index.fit(unit(sample), lists))
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    # Vectors move as they came: in four bytes a component, if they had four.
+    kind = np.float32 if rows.schema[vector].dataType.simpleString() == "array<float>" else np.float64
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        of = np.eye(index.shard.max() + 1, dtype=np.float32)[index.shard]
         for batch in batches_of(it, 2048):
-            x = unit(matrix(batch.column(2), width))
-            own = squares(x, index.coarse).argmin(1)
-            codes, error = index.code(x - index.coarse[own])
-            row, g = index.probes(x, own, reach / 2)
-            seen = np.zeros((len(x), len(index.coarse)), bool)
-            seen[np.arange(len(x)), own] = seen[row, g] = True
-            data, code = packed(x), packed(codes)
+            raw = matrix(batch.column(2), width)
+            x = unit(raw)
+            home = squares(x, index.coarse).argmin(1)
+            codes, error = index.code(x - index.coarse[home])
+            to = index.probes(x, home, reach / 2).astype(np.float32) @ of > 0
+            own = index.shard[home]
+            to[np.arange(len(x)), own] = False
+            row, g = np.nonzero(to)
             every = np.concatenate([np.arange(len(x)), row])
-            first = np.arange(len(every)) < len(x)
-            columns = [pa.array(np.concatenate([own, g])), batch.column(0).take(pa.array(every)), batch.column(1).take(pa.array(every)), data.take(pa.array(every))]
-            for once in (code, packed(np.packbits(seen, axis=1))):
-                columns.append(pa.array(once.to_pylist() + [None] * len(row), pa.binary()))
-            columns += [pa.array(error[every]), pa.array(first), pa.array(own[every])]
-            yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "copies", "data", "code", "seen", "error", "own", "home"])
+            code = pa.array(packed(codes).to_pylist() + [None] * len(row), pa.binary())
+            columns = [pa.array(np.concatenate([own, g])), batch.column(0).take(pa.array(every)), batch.column(1).take(pa.array(every)), packed(raw.astype(kind)).take(pa.array(every))]
+            columns += [code, pa.array(error[every]), pa.array(home[every])]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "copies", "data", "code", "error", "home"])
 
-    lists = mapped(classes.select(F.col("id").cast("long").alias("id"), "copies", "x"), place, "g long, id long, copies long, data binary, code binary, seen binary, error double, own boolean, home long")
-    lists = stored(lists, "lists")
+    placed = mapped(classes.select(F.col("id").cast("long").alias("id"), "copies", "x"), place, "g long, id long, copies long, data binary, code binary, error double, home long")
+    placed = stored(placed, "lists")
 
     def solve(members: pa.Table, queries: pa.Table) -> pa.Table:
         index = shared.value
         empty = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if not members.num_rows or not queries.num_rows:
             return empty
-        y, codes, error = unpacked(members.column("data")), unpacked(members.column("code"), np.uint8), members.column("error").to_numpy()
-        centre = index.coarse[members.column("g")[0].as_py()]
-        y_id, copies, q_id = members.column("id").to_numpy(), members.column("copies").to_numpy(), queries.column("id").to_numpy()
-        q, home, q_copies = unpacked(queries.column("data")), queries.column("home").to_numpy(), queries.column("times").to_numpy()
-        seen = np.unpackbits(unpacked(members.column("seen"), np.uint8), axis=1)
+        y, q = (unit(unpacked(t.column("data"), kind).astype(np.float64)) for t in (members, queries))
+        codes, error = unpacked(members.column("code"), np.uint8), members.column("error").to_numpy()
+        y_id, y_copies, y_home = (members.column(c).to_numpy() for c in ("id", "copies", "home"))
+        q_id, q_copies, q_home = (queries.column(c).to_numpy() for c in ("id", "copies", "home"))
+        asks = np.concatenate([index.probes(q[at : at + 1024], q_home[at : at + 1024], reach / 2 + 1e-6) for at in range(0, len(q), 1024)])
         pairs = []
-        for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            near = index.distances(part - centre, codes) <= (error + reach + 1e-4)[None, :]
-            i, j = np.nonzero(near)
-            for k in range(0, len(i), 50_000):
-                a, b = i[k : k + 50_000], j[k : k + 50_000]
-                hit = (np.einsum("ij,ij->i", part[a], y[b]) >= cosine) & (q_id[at + a] != y_id[b])
-                pairs.append(np.stack([at + a[hit], b[hit]], axis=1))
+        for g in np.unique(y_home):
+            mine, who = np.flatnonzero(y_home == g), np.flatnonzero(asks[:, g])
+            for at in range(0, len(who), 1024):
+                part = who[at : at + 1024]
+                near = index.distances(q[part] - index.coarse[g], codes[mine]) <= (error[mine] + reach + 1e-4)[None, :]
+                i, j = np.nonzero(near)
+                for k in range(0, len(i), 50_000):
+                    a, b = part[i[k : k + 50_000]], mine[j[k : k + 50_000]]
+                    hit = (np.einsum("ij,ij->i", q[a], y[b]) >= cosine) & (q_id[a] != y_id[b])
+                    pairs.append(np.stack([a[hit], b[hit]], axis=1))
         found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        if not len(found):
+        a, b = found.T
+        # In one list each meets the other; of different lists, the nearer to the plane counts for both.
+        same = q_home[a] == y_home[b]
+        far = index.planes(q[a], q_home[a], y_home[b]) - index.planes(y[b], y_home[b], q_home[a])
+        first = ~same & ((far < 0) | (far == 0) & (q_id[a] < y_id[b]))
+        a, b, same = a[same | first], b[same | first], same[same | first]
+        if not len(a):
             return empty
-        links = np.bincount(found[:, 0], copies[found[:, 1]], len(q)).astype(np.int64)
-        alone = found[seen[found[:, 1], home[found[:, 0]]] == 0]  # the member doesn't probe the query's list
-        back = np.bincount(alone[:, 1], q_copies[alone[:, 0]], len(y)).astype(np.int64)
         names, node = np.unique(np.concatenate([q_id, y_id]), return_inverse=True)
-        root = names[spanning(len(names), node[found[:, 0]], node[len(q) + found[:, 1]])]
-        total = np.zeros(len(names), np.int64)
-        np.add.at(total, node, np.concatenate([links, back]))
+        root = names[spanning(len(names), node[a], node[len(q) + b])]
+        total = np.bincount(node[a], y_copies[b], len(names)) + np.bincount(node[len(q) + b[~same]], q_copies[a[~same]], len(names))
         use = (total > 0) | (root != names)
-        return pa.table({"id": names[use].astype(np.int64), "links": total[use], "root": root[use].astype(np.int64)})
+        return pa.table({"id": names[use].astype(np.int64), "links": total[use].astype(np.int64), "root": root[use].astype(np.int64)})
 
-    members = lists.where("own").select("g", "id", "copies", "data", "code", "seen", "error")
-    queries = lists.select("g", "id", "data", "home", F.col("copies").alias("times"))
-    found = stored(meet(members, queries, solve, "id long, links long, root long"), "links")
+    members = placed.where("code IS NOT NULL").select("g", "id", "copies", "data", "code", "error", "home")
+    queries = placed.select("g", "id", "copies", "data", "home")
+    found = stored(meet(members, queries, solve, "id long, links long, root long", MOST), "links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
     whole = classes.select("h1", "h2", "id", "copies").join(linked, "id", "left").join(grouped.withColumnRenamed("node", "id"), "id", "left")

@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Members and queries of a list that meet in one group.
-MEMBERS, QUERIES = 512, 2048
 
 
 def finite(vector: Column) -> Column:
@@ -67,14 +65,14 @@ def bounded_sample(rows: DataFrame, key: str, value: str, n: int, width: int) ->
     return matrix(found.column(0), width) if found.num_rows else np.zeros((0, width))
 
 
-def meet(members: DataFrame, queries: DataFrame, solve: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """solve(members, queries) over groups of both that share g: every member of a list meets every query of it once.
+def meet(members: DataFrame, queries: DataFrame, solve: Callable[[pa.Table, pa.Table], pa.Table], schema: str, most: tuple[int, int] = (512, 2048)) -> DataFrame:
+    """solve(members, queries) over groups of both that share g: every member of a g meets every query of it once.
 
-    Lists are cut into chunks of members and of queries by hash, so a list of any size has groups of bounded size.
+    Members and queries are cut into chunks of about that many by hash, so a g of any size has groups of bounded size.
     members and queries have columns g and id besides their own.
     """
     sizes = members.groupBy("g").agg(F.count("*").alias("m")).join(queries.groupBy("g").agg(F.count("*").alias("q")), "g")
-    sizes = sizes.select("g", F.ceil(F.col("m") / MEMBERS).cast("int").alias("ms"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qs"))
+    sizes = sizes.select("g", F.ceil(F.col("m") / most[0]).cast("int").alias("ms"), F.ceil(F.col("q") / most[1]).cast("int").alias("qs"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = members.join(sizes, "g").withColumn("mc", deal("ms")).withColumn("qc", every("qs")).drop("ms", "qs").withColumn("asks", F.lit(False))
