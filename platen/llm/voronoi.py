@@ -9,6 +9,7 @@ the result is that of comparing all.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +23,35 @@ from .vectors import batches_of, bounded_sample, finite, kmeans, matrix, meet, p
 SAMPLE, PIVOTS = 8192, 64
 
 
+def _floor(v: Column) -> Column:
+    """Spark's floor gives a long; beyond 2**53 a double is whole as it is."""
+    return F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)
+
+
 def whole_numbers(vector: Column, scale: float = 256.0) -> Column:
     """floor(scale * component) of each component, as doubles; null for a vector that isn't valid, for floor would make NaN and infinity finite."""
-    return F.when(finite(vector), F.transform(vector.cast("array<double>"), lambda v: F.floor(v * scale).cast("double")))
+    return F.when(finite(vector), F.transform(vector.cast("array<double>"), lambda v: _floor(v * scale)))
+
+
+def _whole(q: np.ndarray, q_id: np.ndarray, y: np.ndarray, y_id: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(id, other, score) of each query's k best in whole numbers of any size; a score beyond 64 bits is an error."""
+    out = []
+    y_rows = [list(map(int, row)) for row in y.tolist()]
+    for row, own in zip(q.tolist(), q_id.tolist(), strict=True):
+        row = list(map(int, row))
+        scores = [(-sum(map(operator.mul, row, other)), n) for other, n in zip(y_rows, y_id.tolist(), strict=True) if n != own]
+        for score, n in sorted(scores)[:k]:
+            if not -(2**63) <= -score < 2**63:
+                raise OverflowError(f"the product of {own} and {n} has more than 64 bits")
+            out.append((own, n, -score))
+    return out
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where queries holds, its k highest inner products among all other rows.
 
-    vector holds whole numbers; products are exact while their sums stay under 2**53. Ties go to the smaller key, then rank by
+    vector holds whole numbers. Products are exact: in floating point while norms keep them under 2**53, else in whole numbers
+    of any size; a score among the k that has more than 64 bits is an error. Ties go to the smaller key, then rank by
     rank; where there are fewer rows, all are returned. Rows whose key is null, or whose vector is null, empty or holds a null or a
     component that isn't finite, take no part. A row is no candidate for queries of its own key. Shorter vectors are
     padded with zeros. Repeated rows are candidates once each, and one query.
@@ -68,13 +89,17 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vec
             order = np.argsort(y_id, kind="stable")
             y, y_id = y[order], y_id[order]
             for at in range(0, len(q), 512):
-                scores = q[at : at + 512] @ y.T
-                scores[q_id[at : at + 512, None] == y_id[None, :]] = -np.inf
+                part, ids = q[at : at + 512], q_id[at : at + 512]
+                if np.sqrt((part * part).sum(1).max() * (y * y).sum(1).max()) >= 2.0**53:
+                    found = _whole(part, ids, y, y_id, k)
+                    out.append([np.array(x, np.int64) for x in zip(*found, strict=True)] if found else out[0])
+                    continue
+                scores = part @ y.T
+                scores[ids[:, None] == y_id[None, :]] = -np.inf
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 value = np.take_along_axis(scores, best, axis=1)
                 use = np.isfinite(value)
-                ids = np.broadcast_to(q_id[at : at + 512, None], best.shape)
-                out.append([ids[use], y_id[best][use], value[use].astype(np.int64)])
+                out.append([np.broadcast_to(ids[:, None], best.shape)[use], y_id[best][use], value[use].astype(np.int64)])
         made = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
         return pa.table(dict(zip(("id", "other", "score"), made, strict=True)))
 
@@ -90,6 +115,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vec
             q = unpacked(batch.column(2))
             length = np.sqrt((q * q).sum(1))[:, None]
             most = np.minimum(q @ shared.value[groups].T + length * far[None, :], length * norm[None, :])
+            most = np.nan_to_num(most, nan=np.inf, posinf=np.inf, neginf=-np.inf)  # beyond what doubles hold
             least = np.nan_to_num(batch.column(3).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)[:, None]
             slack = 1e-6 * (1 + np.abs(most))
             go = (most + slack >= least) & (groups[None, :] != batch.column(0).to_numpy()[:, None])
