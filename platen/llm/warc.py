@@ -1,14 +1,14 @@
 """Content-addressed WARC archive.
 
 At rest a payload lies once under its SHA-256, and record headers lie apart, exactly as they stand in a
-WARC file. Records are put together again by a join on the digest and exported as WARC 1.1 files;
-read_records() parses such files by Content-Length and verifies each payload against its header's digest.
+WARC file. Records are put together again by a join on the digest and exported as WARC 1.1 files of a bounded
+number of records; read_records() reads such files as streams, by Content-Length, and verifies each payload against
+its header's digest. A task holds one record at a time, whatever the size of a file.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +22,8 @@ END = CRLF * 2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored with their record.
 LEAST = 100
+#: Records of a file.
+RECORDS = 20_000
 
 
 def _line(name: str, value: Column) -> Column:
@@ -38,7 +40,8 @@ def store(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     headers: key, digest, record_type, header; a row per row of pages. payloads: digest, payload, first.
     Of rows with equal payloads of at least that many bytes, those with the smallest key are responses and the
     others revisit it; without any key all are responses. A null payload is empty; a null url has no header line,
-    and line breaks in one are percent-encoded. Repeated rows give repeated records.
+    and line breaks in one are percent-encoded. Repeated rows give repeated records, and an empty table gives empty ones.
+    Other columns are not read.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -71,79 +74,79 @@ def records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     return full.union(headers.where("record_type = 'revisit'").select("header", F.lit(b"").alias("block")))
 
 
-def export(made: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files under path; what ends a record is the writer's separator."""
-    made.select(F.concat("header", "block").cast("string").alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
-
-
-def _parse(path: str, content: bytes) -> Iterator[tuple]:
-    """Of one file, plain or gzip, a record at a time."""
-    unzip = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
-    view = memoryview(content)
-    at, held = 0, bytearray()
-
-    def fill(n: int) -> bool:
-        """At least n bytes in held, if the file has as many."""
-        nonlocal at, unzip
-        while len(held) < n and at < len(view):
-            piece = view[at : at + (1 << 18)]
-            at += len(piece)
-            if unzip is None:
-                held.extend(piece)
-                continue
-            held.extend(unzip.decompress(piece))
-            while unzip.eof and unzip.unused_data:
-                rest, unzip = unzip.unused_data, zlib.decompressobj(31)
-                held.extend(unzip.decompress(rest))
-        return len(held) >= n
-
-    while fill(1):
-        seen = 0
-        while (stop := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
-            seen = len(held)
-            if not fill(seen + 1):
-                raise ValueError(f"{path}: a record's header doesn't end")
-        lines = bytes(held[:stop]).decode("utf-8", "replace").split(CRLF)
+def export(made: DataFrame, path: str, compression: str = "gzip", most: int = RECORDS) -> None:
+    """WARC files of at most that many records under path; what ends a record is the writer's separator."""
+    lines = made.select(F.concat("header", "block").cast("string").alias("value"))
+    lines.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", most).text(path)
+
+
+def _parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """A record at a time, from the pieces of whole files between separators.
+
+    A block may hold separators, and one that ends in a line break shifts where the next are found, so records are cut from
+    the bytes themselves. Where a file ends shifted, one separator too many stands before the next."""
+    end = END.encode()
+    rest = b""
+    while True:
+        while rest.startswith(end):
+            rest = rest[len(end) :]
+        if (stop := rest.find(end)) < 0:
+            piece = next(pieces, None)
+            if piece is None:
+                if rest:
+                    raise ValueError(f"a record's header doesn't end: {rest[:80]!r}")
+                return
+            rest += piece + end
+            continue
+        lines = rest[:stop].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/1."):
-            raise ValueError(f"{path}: no record begins with {lines[0]!r}")
+            raise ValueError(f"no record begins with {lines[0][:80]!r}")
         fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(fields["content-length"])
-        if not fill(stop + 4 + size + 4) or held[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"{path}: a record's block has not its Content-Length")
-        block = bytes(held[stop + 4 : stop + 4 + size])
-        del held[: stop + 8 + size]
+        name, size = fields["warc-record-id"], int(fields["content-length"])
+        held = [rest[stop + len(end) :]]
+        lack = size + len(end) - len(held[0])
+        while lack > 0:
+            if (piece := next(pieces, None)) is None:
+                raise ValueError(f"{name}: the file ends within the block")
+            held.append(piece + end)
+            lack -= len(held[-1])
+        whole = b"".join(held)
+        block, rest = whole[:size], whole[size + len(end) :]
+        if whole[size : size + len(end)] != end:
+            raise ValueError(f"{name}: the block has not its Content-Length")
         digest, kind = fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"]
         if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
-            raise ValueError(f"{path}: a payload has another digest than its header says: {digest}")
+            raise ValueError(f"{name}: the payload has another digest than its header says: {digest}")
         number = lambda x: None if x is None or x == "<urn:x-page:none>" else int(x[12:-1])
-        yield number(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), digest, block
+        yield number(name), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), digest, block
 
 
 def read_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """key, url, record_type, refers_to, digest, size, and with blocks also block, of each record of the files under path. A digest that differs is an error."""
+    """key, url, record_type, refers_to, digest, size, and with blocks also block, of each record of the files under path.
+
+    Files are as export() writes them, compressed (and so read whole, as a stream, by one task) or plain and of at most
+    spark.sql.files.maxPartitionBytes. A digest or length that differs is an error. No files give no rows.
+    """
     names = ["key", "url", "record_type", "refers_to", "digest", "size", "block"][: 7 if blocks else 6]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-
         def made(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
-        for batch in batches:
-            for where, content in zip(batch.column(0), batch.column(1), strict=True):
+        rows, held = [], 0
+        for *head, block in _parse(x.as_py() for batch in batches for x in batch.column(0)):
+            rows.append((*head, len(block), block) if blocks else (*head, len(block)))
+            held += len(block) * blocks + 200
+            if held > 4 << 20:
+                yield made(rows)
                 rows, held = [], 0
-                for *head, block in _parse(where.as_py(), content.as_py()):
-                    rows.append((*head, len(block), block) if blocks else (*head, len(block)))
-                    held += len(block) * blocks + 200
-                    if held > 4 << 20:
-                        yield made(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield made(rows)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+        if rows:
+            yield made(rows)
+
+    pieces = spark.read.option("lineSep", END).option("recursiveFileLookup", "true").text(path).select(F.col("value").cast("binary").alias("piece"))
     schema = "key long, url string, record_type string, refers_to long, digest string, size long" + ", block binary" * blocks
-    return mapped(files, run, schema)
+    return mapped(pieces, run, schema)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
