@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds at a time, beyond one text.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +80,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(taken: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it (Spark's names differ in more than case)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 def release() -> None:
