@@ -393,7 +393,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id"
     """key, ids array<int>, decoded binary: each text's ids as the tiktoken library gives them, and the bytes they stand for.
 
     ranks is the path of a rank file on the driver. Null texts are empty and have no ids. Rows are kept as
-    they are, repeated ones and those without a key too; other columns are not read.
+    they are, repeated ones and those without a key too; other columns are not read. An empty table gives an empty one.
     """
     with open(ranks, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())

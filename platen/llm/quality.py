@@ -61,7 +61,11 @@ def features(texts: pa.Array) -> np.ndarray:
     kinds_of_words, most = distinct(words.word, words.doc, max(every, 1))
     same = words.doc[1:] == words.doc[:-1]
     pair = (words.word[:-1].astype(np.int64) * every + words.word[1:])[same]
-    pairs, _ = distinct(pair, words.doc[1:][same], max(every, 1) ** 2)
+    base = max(every, 1) ** 2
+    if base * max(n, 1) > 2**62:  # too many for one number with the row
+        found, pair = np.unique(pair, return_inverse=True)
+        base = max(len(found), 1)
+    pairs, _ = distinct(pair, words.doc[1:][same], base)
     again = np.bincount(words.doc[1:][same & (words.word[1:] == words.word[:-1])], minlength=n)
     share = lambda mask, of: np.bincount(of.doc, weights=mask[of.word], minlength=n) / count
     flag = lambda of, pattern: pc.match_substring_regex(of.words, pattern).to_numpy(zero_copy_only=False).astype(float)
@@ -100,7 +104,12 @@ def labelled_sample(labels: DataFrame, key: str, label: str, rows: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Additive:
-    """The model of label, from the rows of docs that labels names; at most sample of them."""
+    """The model of label, from the rows of docs that labels names; at most sample of them, those of the smallest hashed keys.
+
+    Labels that are null or without a key are left out, of a key's labels the largest counts, and of its rows one. Rows
+    of docs without a key teach nothing. Null texts are empty. Without rows, or with labels of one kind alone, every score is
+    the same: 0.5 without any. Other columns are not read.
+    """
     chosen = labelled_sample(labels, key, label, sample)
     # Of a bounded number of rows: at most sample keys and labels.
     texts = docs.select(key, text).join(F.broadcast(chosen), key)
@@ -111,7 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score: a row per row of docs; null and empty texts have the score of an empty text."""
+    """key, score: a row per row of docs, repeated ones and those without a key too.
+
+    Null and empty texts have the score of an empty text. An empty table gives an empty one; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +134,7 @@ def score(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "te
 
 
 def keep_good(docs: DataFrame, model: Additive, least: float, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least that."""
+    """The rows of docs, all columns whatever their names, whose text scores at least that; see score()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

@@ -37,6 +37,8 @@ STRONG, SUMS = 3.0, 5
 MEANT = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h", "%": "aeiou"}
 SEPARATORS = ".-_*'~^`·•,:;/\\+|"
 OUTER = ".,;:!?\"'()[]{}<>«»“”‘’…%$&*#@|~^`+=/\\-_"
+#: Tokens without a letter that may be words all the same, and what numbers, sums and marks look like.
+SIGNS, NUMBER = r"^[0-9@$!|+(<€£*#%]{3,}$", r"^[#$€£+(<]*[0-9]+[%$€£!+*#|]*$"
 RUNS = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -143,8 +145,10 @@ class Restored:
         doc, word = seen.doc, seen.word
         if model is not None:
             # Outer signs may stand for letters too: a token is tried with them if it has others or a run.
-            odd = _odd(raw) & pc.match_substring_regex(raw, r"\p{L}").to_numpy(zero_copy_only=False)
-            odd &= _odd(bare) | pc.match_substring_regex(raw, r"^[@$!|+*0-9(<€][^@$!|+*0-9(<€]*\p{L}|\p{L}[@$|+*0-9(€]$").to_numpy(zero_copy_only=False) if len(raw) else False
+            has = lambda pattern: pc.match_substring_regex(raw, pattern).to_numpy(zero_copy_only=False)
+            odd = _odd(raw) & has(r"\p{L}")
+            odd &= _odd(bare) | has(r"^[@$!|+*0-9(<€][^@$!|+*0-9(<€]*\p{L}|\p{L}[@$|+*0-9(€]$") if len(raw) else False
+            odd |= has(SIGNS) & has("[0-9]") & has("[@$!|(<*#]") & ~has(NUMBER) if len(raw) else False
             full = raw.to_numpy(zero_copy_only=False) if len(raw) else []
             for k in np.flatnonzero(odd).tolist():
                 words[k] = best(full[k], words[k], model)
@@ -156,7 +160,8 @@ class Restored:
     @staticmethod
     def _joined(seen: Words, bare: pa.Array, doc, word, words, model):
         """Adds, for each run of three or more single characters in a text, what they spell."""
-        single = (pc.utf8_length(bare).to_numpy(zero_copy_only=False) == 1)[seen.word] if len(bare) else np.zeros(0, bool)
+        # Tokens of signs alone may stand between the letters.
+        single = (pc.utf8_length(bare).to_numpy(zero_copy_only=False) <= 1)[seen.word] if len(bare) else np.zeros(0, bool)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         starts, ends = edge[::2], edge[1::2]
         more: dict[str, int] = {}
@@ -167,6 +172,8 @@ class Restored:
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi - lo >= 3:
                     spelt = "".join(raw[k] for k in seen.word[lo:hi])
+                    if len(spelt) < 3:
+                        continue
                     if spelt not in more:
                         more[spelt] = len(words)
                         words.append(best(spelt, spelt, model))
@@ -264,7 +271,7 @@ def _evidence(texts: DataFrame) -> dict[str, float]:
     bound = ratio - 1.5 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     # Words in LEAST toxic documents of a bounded sample: a bounded number.
     kept = counts.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(f"bad >= {LEAST}")
-    kept = kept.select("word", bound.alias("bound")).where(f"bound >= {FLOOR} AND length(word) >= 4")
+    kept = kept.select("word", bound.alias("bound")).where(f"bound >= {FLOOR} AND length(trim(word)) >= 2")
     return {r.word: r.bound for r in kept.orderBy(F.desc("bound"), "word").collect()}
 
 
@@ -316,7 +323,12 @@ def word_counts(words: dict[str, float], total: float) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Toxic:
     """From at most sample labelled rows (those of the smallest hashed keys): half for evidence, half for the logistic
-    model. The character model counts all of docs. Without labelled rows every score is the same."""
+    model. The character model counts all of docs.
+
+    Labels that are null or without a key are left out; of a key's labels the largest counts. Rows of docs without a key teach
+    only characters, repeated rows count each time, null texts are empty. Without evidence every score is the same: 0.5
+    without labelled rows. An empty table teaches nothing. Other columns are not read.
+    """
     spark = docs.sparkSession
     with scratch(spark):
         chosen = labelled_sample(labels, key, label, sample)
@@ -344,7 +356,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Toxic, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score: a row per row of docs; null and empty texts have the score of an empty text."""
+    """key, score: a row per row of docs, repeated ones and those without a key too.
+
+    Null and empty texts have the score of an empty text. An empty table gives an empty one; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +370,7 @@ def score(docs: DataFrame, model: Toxic, key: str = "doc_id", text: str = "text"
 
 
 def keep_clean(docs: DataFrame, model: Toxic, most: float, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores less than that."""
+    """The rows of docs, all columns whatever their names, whose text scores less than that; see score()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
