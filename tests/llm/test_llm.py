@@ -337,3 +337,177 @@ def test_crc_remainders(spark):
 
     rows = spark.createDataFrame([(0,), (17,), (123456,)], "doc_id long").select("doc_id", remainder("doc_id", 5).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+
+
+def test_warc_streams_blocks_with_separators(spark, tmp_path):
+    end = "\r\n\r\n"
+    rows = [(1, "u", end + "a" * 120 + end), (2, "u", end), (3, "u", "x" + end + end + "y" * 200), (4, "u", ""), (5, "u", "\r\n"), (6, "u", "b" * 150 + "\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    made = warc.records(*warc.store(df))
+    for kind in ("gzip", "none"):
+        warc.export(made, f"{tmp_path}/{kind}", kind, most=2)
+        back = {r.key: (bytes(r.block).decode(), r.size) for r in warc.read_records(spark, f"{tmp_path}/{kind}").collect()}
+        assert back == {k: (t, len(t)) for k, _, t in rows}
+    assert len(list(tmp_path.glob("gzip/*.gz"))) >= 3
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc._parse(iter([b"WARC/1.1\r\nWARC-Record-ID: <urn:x-page:1>\r\nContent-Length: 3", b"abcd"])))
+    with pytest.raises(ValueError, match="digest"):
+        list(warc._parse(iter([b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:1>\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 3", b"abc"])))
+
+
+def test_voronoi_of_huge_components(spark):
+    rows = [(0, [2.0**52, 3.0]), (1, [2.0**10, 1.0]), (2, [2.0**10, 0.0]), (3, [-(2.0**8), 5.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = {(r.query_id, r.vec_id): r.score for r in voronoi.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    whole = {k: [int(v) for v in x] for k, x in rows}
+    assert made == {(q, k): sum(a * b for a, b in zip(whole[q], whole[k], strict=True)) for q in (0, 50) for k in whole if k != q}
+    high = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        voronoi.top_k(high, F.col("vec_id") == 0).collect()
+
+
+def test_lines_with_clashing_names(spark):
+    rows = spark.createDataFrame([(0, "a\nb\nc", "x", 1), (1, "z\na\nb\nc", "y", 2)], "doc_id long, text string, removed string, later int")
+    made = lines.dedup_lines(rows).orderBy("doc_id").collect()
+    assert [(r.text, r.later, r.removed) for r in made] == [("a\nb\nc", 1, []), ("z", 2, [1, 2, 3])]
+    kept = lines.dedup_lines(rows, removed="gone").orderBy("doc_id").collect()
+    assert [(r.removed, r.gone) for r in kept] == [("x", []), ("y", [1, 2, 3])]
+
+
+def test_viterbi_takes_the_best_of_all_paths():
+    model = toxicity.CharModel(toxicity.word_counts({w: 1.0 for w in ("that", "idiot", "stupid", "tail", "gist")}, 500.0))
+    for token in ("1d10t", "st*p", "t@@1l", "g!!5t", "(a+", "7h-a+", "aaa", "x", "0", ".a.", "%%%"):
+        steps = toxicity.lattice(token)
+        paths = [("", 0.0)]
+        for arcs in steps:
+            paths = [(word + letters, cost + own) for word, cost in paths for letters, own in arcs]
+        best = max(cost + model.word(word) for word, cost in paths)
+        made = toxicity.restore(token, model)
+        assert math.isclose(max(cost for word, cost in paths if word == made) + model.word(made), best, abs_tol=1e-9)
+
+
+def test_character_model_forgets(monkeypatch):
+    model = toxicity.CharModel(toxicity.word_counts({"idiot": 1.0}, 10.0))
+    wanted = {w: model.word(w) for w in ("idiot", "toad", "diode")}
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    model.logs.clear()
+    assert {w: model.word(w) for w in wanted} == wanted and len(model.logs) <= 3
+
+
+def test_disguises_without_letters_or_with_signs_between():
+    words = {w: 5.0 for w in ("kill", "bitch")}
+    model = toxicity.CharModel(toxicity.word_counts({"the": 1.0, "bill": 1.0}, 100.0), toxicity.word_counts(words, 2000.0))
+    assert "kill" in toxicity.restored_text("k . i . l . l", model).split()
+    assert toxicity.restored_text("it cost $100 or 5% of 3,000", model).split() == ["it", "cost", "100", "or", "5", "of", "3,000"]
+    assert toxicity.restored_text("a - b", model).split() == ["a", "b"] or toxicity.restored_text("a - b", model).split() == ["a", "", "b"]
+
+
+def test_score_is_the_sum_of_table_entries():
+    rng = np.random.default_rng(31)
+    x = np.column_stack([rng.random(500), rng.integers(0, 3, 500), rng.standard_normal(500)])
+    y = ((x[:, 0] > 0.4) & (x[:, 1] > 0) | (x[:, 2] > 1)).astype(float)
+    model = boosting.fit(x, y, rounds=20, pairs=2)
+    for row, score in zip(x[:60], model.score(x[:60]), strict=True):
+        bins = [sum(c <= v for c in cuts) for v, cuts in zip(row, model.cuts, strict=True)]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        total += sum(t[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for i, j, t in model.pairs)
+        assert math.isclose(score, 1 / (1 + math.exp(-total)), rel_tol=1e-12)
+
+
+def test_a_tree_takes_the_best_cut():
+    rng = np.random.default_rng(37)
+    for _ in range(30):
+        g, h, n = rng.standard_normal(9), rng.random(9) + 0.1, rng.integers(0, 9, 9)
+        gain, at = boosting._cut(g, h, n, 1.0, 5)
+        worth = {k: g[:k].sum() ** 2 / (h[:k].sum() + 1) + g[k:].sum() ** 2 / (h[k:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1) for k in range(1, 9) if n[:k].sum() >= 5 and n[k:].sum() >= 5}
+        if worth and max(worth.values()) > 1e-9:
+            assert math.isclose(gain, max(worth.values()), rel_tol=1e-9) and math.isclose(worth[at], gain, rel_tol=1e-9)
+
+
+def test_hmm_score_is_the_models_probability(spark):
+    """score against a sum over all state paths of the model that was trained, words by their share of their class."""
+    texts = ["a b a", "b c", "", "c a longest", "b", "unseen a"]
+    docs = frame(spark, texts)
+    held = {4, 5}
+    kept = {}
+    train = hmm.baum_welch
+
+    def spied(*args):
+        kept["model"] = train(*args)
+        return kept["model"]
+
+    hmm.baum_welch = spied
+    try:
+        made = {r.doc_id: r.score for r in hmm.scores(docs, ~F.col("doc_id").isin(*held), states=2, iterations=2).collect()}
+    finally:
+        hmm.baum_welch = train
+    model = kept["model"]
+    counts = Counter(w for i, t in enumerate(texts) if i not in held for w in t.encode().split())
+    tokens, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        tokens[hmm.word_class(w)] += n
+        kinds[hmm.word_class(w)] += 1
+    for i, t in enumerate(texts):
+        words = t.encode().split()
+        symbols = [hmm.word_class(w) for w in words] + [hmm.CLASSES]
+        total = 0.0
+        for path in np.ndindex(*[2] * len(symbols)):
+            p = model.start[path[0]]
+            for k, c in enumerate(symbols):
+                p *= model.emit[c, path[k]] * (model.step[path[k - 1], path[k]] if k else 1)
+            total += p
+        own = sum(math.log10((counts[w] + 0.5) / (tokens[hmm.word_class(w)] + 0.5 * (kinds[hmm.word_class(w)] + 1))) for w in words)
+        assert math.isclose(made[i], math.log10(total) + own, rel_tol=1e-6)
+
+
+CONTRACTS = {
+    "op1_hmm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op3_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op4_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op5_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op6_quantised": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op7_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op8_voronoi": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Odd rows in each table: nulls, empty texts, repeats, clashing columns."""
+    at = tmp_path_factory.mktemp("sf")
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("etaoin") for _ in range(4))
+    texts = [*TEXTS, *[" ".join(word() for _ in range(40)) for _ in range(40)]]
+    docs = frame(spark, texts)
+    docs = docs.union(docs.where("doc_id = 3")).withColumn("score", F.lit("s")).withColumn("train", F.lit(1)).withColumn("removed", F.lit("r"))
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(4, 40)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([(i, [float(rng.gauss(0, 1)) for _ in range(6)]) for i in range(60)] + [(60, None)], "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    return str(at), texts
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_query_keeps_its_contract(spark, tables, name):
+    at, texts = tables
+    made = queries.queries()[name](spark, at)
+    wanted = CONTRACTS[name].split(", ")
+    assert [f"{a} {b}" for a, b in made.dtypes][: len(wanted)] == wanted
+    rows = made.collect()
+    if "held_out" in made.columns:
+        mod, left = {"op1_hmm": (5, 1), "op4_quality": (4, 2), "op9_toxicity": (3, 1)}[name]
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == left) for r in rows)
+        assert len(rows) == len(texts) + 1
+    if "predicted" in made.columns:
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    if name == "op5_bpe":
+        for r in rows:
+            raw = (texts[r.doc_id] or "").encode()
+            assert r.decoded_sha256 == hashlib.sha256(raw).hexdigest()
+    if name == "op3_packing":
+        library = pytest.importorskip("tokenizers").Tokenizer.from_file(P.path("word_bpe_49k.json"))
+        for r in rows:
+            ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids)

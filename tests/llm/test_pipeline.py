@@ -94,3 +94,29 @@ def test_near_copies_in_chunks(spark, monkeypatch):
     made = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert made == dict(enumerate(root.tolist())) and len(set(made.values())) > 6
     assert simhash.near_copies(docs.limit(0)).collect() == []
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, extra columns with clashing names, and no rows at all."""
+    rng = np.random.default_rng(43)
+    texts = [None, "", " ", "a\nb\nc", "x\na\nb\nc", *[" ".join(f"w{n}" for n in rng.integers(0, 300, 60)) for _ in range(20)]]
+    rows = [(i, t, None if i == 2 else "en", "s", None if i == 3 else len(t or ""), "r", 1, "n", 0.5) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[7], (None, texts[8], None, None, None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, removed string, band int, node string, score double"
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(25)] + [(None, 1, 0), (3, None, None)]
+    for at, some, known in (("some", rows, labels), ("none", [], []), ("unknown", rows, [])):
+        sf = f"{tmp_path}/{at}"
+        spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame(some, kind).write.parquet(f"{sf}/documents.parquet")
+        docs = table(spark, sf, "documents")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, docs, sf)
+            assert made.dtypes == docs.dtypes, name
+            if at == "unknown" and name in ("quality", "toxicity"):
+                assert made.count() == len(rows)
+            if name == "lines" and at != "some":
+                assert {r.text for r in made.where("doc_id = 4").collect()} <= {"x"}
+            docs = stored(made, "odd")
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        assert corpus_pipeline.run(spark, sf).count() == packed.count()
