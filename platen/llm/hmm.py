@@ -5,9 +5,10 @@ and a class emits its words by their counts in the training texts; an unseen wor
 half a count. Latent states are trained by Baum-Welch: each task sums expected counts of its texts, Spark
 adds them up. The scaled forward recursion gives a text's exact likelihood.
 
-Texts are read once, into blocks: word numbers in order, and a row for each distinct word of a block. Counts of
-words are sums with partial aggregates, which a join brings back to the rows of the blocks; Spark can split both for a
-word that stands in every block. The model itself has a fixed size.
+Texts are read once, into blocks: word numbers in order, and the block's distinct words, dealt out by hash into buckets.
+Counts of words are added up in two steps, so that a word of every block makes no large group: in each bucket first
+over the blocks of a span, then over spans, where a word stands once for each. Totals return the same way, and what
+moves is each block's vocabulary. The number of buckets grows with the input's. The model itself has a fixed size.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import Words, blocks, mapped, stored
 
 STATES, ITERATIONS, CLASSES = 8, 4, 2048
 BLOCK = 6 << 20
+#: Blocks whose words are added up in one group.
+SPAN = 64
 #: Words of at most so many bytes have classes by themselves; of longer ones the last bytes count.
 SHORT, ENDING = 5, 3
 
@@ -110,33 +113,100 @@ def expected(model: Model, classes: np.ndarray, layout: Layout) -> tuple[np.ndar
     return start.astype(float), moves * model.step, counts, float(logs.sum())
 
 
-def _read(docs: DataFrame, key: str, text: str, train: Column) -> DataFrame:
-    """kind 0: a block, its keys, whether they train, sizes with the end, word numbers, words' classes. kind 1: for each
-    distinct word of the block its number, class and count in the block's training texts."""
+def _read(docs: DataFrame, key: str, text: str, train: Column, buckets: int) -> DataFrame:
+    """kind 0: a block, its keys, whether they train, sizes with the end, word numbers, words' classes. kind 1: for
+    each bucket the block's words of that hash, in their order, their classes and counts in training texts."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["kind", "block", "keys", "train", "sizes", "data", "classes", "number", "word", "class", "n"]
-    schema = f"kind int, block long, keys array<{kind}>, train array<boolean>, sizes array<int>, data binary, classes binary, number int, word binary, class int, n long"
+    names = ["kind", "block", "bucket", "keys", "train", "sizes", "data", "classes", "counts"]
+    schema = f"kind int, block long, bucket int, keys array<{kind}>, train array<boolean>, sizes array<int>, data binary, classes binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         for rows in blocks(batches, 1, BLOCK):
             seen = Words(rows.column(1), lower=True)
-            words = seen.words.cast(pa.binary()) if len(seen.words) else pa.array([], pa.binary())
-            classes = np.fromiter(map(word_class, words.to_pylist()), np.uint16, len(words))
+            words = seen.words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist() if len(seen.words) else []
+            classes = np.fromiter(map(word_class, words), np.uint16, len(words))
             trains = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            counts = np.bincount(seen.word[trains[seen.doc]], minlength=len(words))
-            kinds = [pa.int32(), pa.int64(), pa.list_(rows.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
-            one = [0, block, rows.column(0).to_pylist(), trains.tolist(), seen.sizes.tolist(), seen.word.astype(np.int32).tobytes(), classes.tobytes(), None, None, None, None]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(one, kinds, strict=True)], names=names)
-            n = len(words)
-            if n:
-                own = [np.ones(n, np.int32), np.full(n, block), None, None, None, None, None, np.arange(n, dtype=np.int32), words, classes.astype(np.int32), counts.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if x is None else pa.array(x, k) if isinstance(x, np.ndarray) else x for x, k in zip(own, kinds, strict=True)], names=names)
-            block += 1
+            counts = np.bincount(seen.word[trains[seen.doc]], minlength=len(words)).astype(np.int32)
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            # Words are numbered by bucket, so that counts come back as runs.
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words), dtype=np.int32)
+            made = [(0, number, -1, rows.column(0).to_pylist(), trains.tolist(), seen.sizes.tolist(), place[seen.word].tobytes(), classes[order].tobytes(), None)]
+            for b in range(buckets):
+                part = order[bounds[b] : bounds[b + 1]]
+                if len(part):
+                    made.append((1, number, b, None, None, None, b" ".join([words[k] for k in part.tolist()]), classes[part].tobytes(), counts[part].tobytes()))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(rows.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 3]
+            for some in (made[:1], made[1:]):
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+            number += 1
 
     return mapped(docs.select(key, text, train.alias("train")), run, schema)
 
 
+def _distinct(rows: pa.Table, order: str) -> tuple[pa.Table, np.ndarray, pa.Array, np.ndarray]:
+    """Rows in the order of a column; per word of theirs its number, the distinct words in order of appearance, bounds of rows."""
+    rows = rows.sort_by(order)
+    lists = pc.split_pattern(rows.column("data").combine_chunks(), b" ")
+    coded = lists.flatten().dictionary_encode()
+    return rows, coded.indices.to_numpy(), coded.dictionary, lists.offsets.to_numpy()
+
+
+def _count(words: DataFrame, spans: int) -> tuple[DataFrame, DataFrame]:
+    """Of kind 1 rows: (block, bucket, counts) with each block's words' counts over all training texts; (class, tokens, words)."""
+    words = words.select("block", "bucket", "data", "classes", "counts", F.pmod(F.xxhash64("block"), F.lit(spans)).cast("int").alias("span"))
+
+    def over_blocks(rows: pa.Table) -> pa.Table:
+        rows, code, distinct, _ = _distinct(rows, "block")
+        total = np.bincount(code, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32), len(distinct)).astype(np.int64)
+        of = np.zeros(len(distinct), np.uint16)
+        of[code] = np.frombuffer(b"".join(rows.column("classes").to_pylist()), np.uint16)
+        joined = b" ".join(distinct.to_pylist())
+        one = {"bucket": rows.column("bucket")[:1], "span": rows.column("span")[:1]}
+        return pa.table(one | {"data": pa.array([joined], pa.binary()), "classes": pa.array([of.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "bucket int, span int, data binary, classes binary, counts binary"
+    sums = stored(words.groupBy("bucket", "span").applyInArrow(over_blocks, kind), "spans")
+
+    def over_spans(rows: pa.Table) -> pa.Table:
+        rows, code, distinct, bounds = _distinct(rows, "span")
+        total = np.bincount(code, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64), len(distinct)).astype(np.int64)
+        of = np.zeros(len(distinct), np.int64)
+        of[code] = np.frombuffer(b"".join(rows.column("classes").to_pylist()), np.uint16)
+        tokens = np.bincount(of, total, CLASSES).astype(np.int64)
+        kinds = np.bincount(of[total > 0], minlength=CLASSES)
+        back = [total[code[a:z]].tobytes() for a, z in zip(bounds, bounds[1:], strict=False)]
+        used = np.flatnonzero(tokens)
+        n, m = len(back), len(used)
+        return pa.table({
+            "bucket": pa.array([rows.column("bucket")[0].as_py()] * (n + m), pa.int32()),
+            "span": pa.array(rows.column("span").to_pylist() + [None] * m, pa.int32()),
+            "counts": pa.array(back + [None] * m, pa.binary()),
+            "class": pa.array([None] * n + used.tolist(), pa.int32()),
+            "tokens": pa.array([None] * n + tokens[used].tolist(), pa.int64()),
+            "words": pa.array([None] * n + kinds[used].tolist(), pa.int64()),
+        })
+
+    kind = "bucket int, span int, counts binary, class int, tokens long, words long"
+    totals = stored(sums.groupBy("bucket").applyInArrow(over_spans, kind), "totals")
+
+    def to_blocks(rows: pa.Table) -> pa.Table:
+        own = pc.is_valid(rows.column("block"))
+        total = np.frombuffer(rows.filter(pc.invert(own)).column("totals")[0].as_py(), np.int64)
+        rows, code, _, bounds = _distinct(rows.filter(own), "block")
+        back = [total[code[a:z]].tobytes() for a, z in zip(bounds, bounds[1:], strict=False)]
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "counts": pa.array(back, pa.binary())})
+
+    summed = totals.where("span IS NOT NULL").select("bucket", "span", F.col("counts").alias("totals"))
+    both = words.select("block", "bucket", "span", "data").unionByName(summed, allowMissingColumns=True)
+    back = both.groupBy("bucket", "span").applyInArrow(to_blocks, "block long, bucket int, counts binary")
+    return back, totals.where("span IS NULL").select("class", "tokens", "words")
+
+
 def _classes(row: dict, chosen: np.ndarray | None = None) -> tuple[np.ndarray, Layout, np.ndarray]:
     """Of a kind 0 row: tokens' classes by time, their layout, and word numbers in the texts' order; of chosen texts only."""
     sizes = np.array(row["sizes"], np.int64)
@@ -196,29 +266,26 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    read = stored(_read(docs, key, text, train), "words", by="kind")
-    texts = read.where("kind = 0").select("block", "keys", "train", "sizes", "data", "classes")
-    words = read.where("kind = 1").select("block", "number", "word", "class", "n")
-    totals = stored(words.groupBy("word").agg(F.sum("n").alias("total"), F.first("class").alias("class")).where("total > 0"), "totals")
-    sums = totals.groupBy("class").agg(F.sum("total").alias("tokens"), F.count("*").alias("words")).collect()  # a row per class
-    tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    read = stored(_read(docs, key, text, train, int(spark.conf.get("spark.sql.shuffle.partitions"))), "words", by="kind")
+    texts = read.where("kind = 0")
+    counted, sums = _count(read.where("kind = 1"), -(-texts.count() // SPAN) or 1)
+    sums = sums.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()  # a row per class
+    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
-        tokens[r["class"]], kinds[r["class"]] = r.tokens, r.words
+        tokens[r["class"]], words[r["class"]] = r.tokens, r.words
     ends = int(texts.select(F.sum(F.size(F.filter("train", lambda x: x)))).first()[0] or 0)
-    every, distinct = int(tokens.sum()) + ends, int(kinds.sum()) + (ends > 0)
+    every, distinct = int(tokens.sum()) + ends, int(words.sum()) + (ends > 0)
     shares = (np.append(tokens, ends) + 0.5) / (every + 0.5 * (CLASSES + 1))
     model = baum_welch(texts, shares, states, iterations)
-    inside = np.log10(tokens + 0.5 * (kinds + 1))
+    inside = np.log10(tokens + 0.5 * (words + 1))
     shared = spark.sparkContext.broadcast((model, inside))
     bottom = np.log10(every + 0.5 * (distinct + 1))
 
     def run(rows: pa.Table) -> pa.Table:
         model, inside = shared.value
-        own = pc.is_valid(rows.column("data"))
-        row = rows.filter(own).to_pylist()[0]
-        counts = np.zeros(len(row["classes"]) // 2, np.int64)
-        back = rows.filter(pc.invert(own))
-        counts[back.column("number").to_numpy()] = back.column("total").to_numpy()
+        made = rows.to_pylist()
+        row = next(r for r in made if r["kind"] == 0)
+        counts = np.frombuffer(b"".join(r["counts"] for r in sorted((r for r in made if r["kind"] == 1), key=lambda r: r["bucket"])), np.int64)
         classes, layout, word = _classes(row)
         sizes = np.array(row["sizes"], np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -239,8 +306,8 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             "score": pa.array(likely + within),
         })
 
-    # Words without a count in training texts needn't come back.
-    back = words.join(totals.select("word", "total"), "word").select("block", "number", "total")
-    both = texts.unionByName(back, allowMissingColumns=True)
+    columns = ["kind", "block", "bucket", "keys", "train", "sizes", "data", "classes", "counts"]
+    back = counted.withColumn("kind", F.lit(1))
+    both = texts.select(*columns).unionByName(back, allowMissingColumns=True)
     schema = f"`{key}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.groupBy("block").applyInArrow(run, schema)
