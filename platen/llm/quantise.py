@@ -141,31 +141,39 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         y_id, y_copies, y_home = (members.column(c).to_numpy() for c in ("id", "copies", "home"))
         q_id, q_copies, q_home = (queries.column(c).to_numpy() for c in ("id", "copies", "home"))
         asks = np.concatenate([index.probes(q[at : at + 1024], q_home[at : at + 1024], reach / 2 + 1e-6) for at in range(0, len(q), 1024)])
-        pairs = []
+        names, node = np.unique(np.concatenate([q_id, y_id]), return_inverse=True)
+        root, total = np.arange(len(names)), np.zeros(len(names), np.int64)
+
+        def found(a: np.ndarray, b: np.ndarray) -> None:
+            """Counts the pairs and joins their components, so that no list of all pairs is held."""
+            nonlocal root
+            same = q_home[a] == y_home[b]
+            # In one list each meets the other; of different lists, the nearer to the plane counts for both.
+            far = index.planes(q[a], q_home[a], y_home[b]) - index.planes(y[b], y_home[b], q_home[a])
+            use = same | (far < 0) | (far == 0) & (q_id[a] < y_id[b])
+            a, b, same = a[use], b[use], same[use]
+            np.add.at(total, node[a], y_copies[b])
+            np.add.at(total, node[len(q) + b[~same]], q_copies[a[~same]])
+            x, z = root[node[a]], root[node[len(q) + b]]
+            if (x != z).any():
+                edges = np.unique(np.stack([x, z], axis=1)[x != z], axis=0)
+                root = spanning(len(names), edges[:, 0], edges[:, 1])[root]
+
         for g in np.unique(y_home):
             mine, who = np.flatnonzero(y_home == g), np.flatnonzero(asks[:, g])
             for at in range(0, len(who), 1024):
                 part = who[at : at + 1024]
-                near = index.distances(q[part] - index.coarse[g], codes[mine]) <= (error[mine] + reach + 1e-4)[None, :]
-                i, j = np.nonzero(near)
-                for k in range(0, len(i), 50_000):
-                    a, b = part[i[k : k + 50_000]], mine[j[k : k + 50_000]]
-                    hit = (np.einsum("ij,ij->i", q[a], y[b]) >= cosine) & (q_id[a] != y_id[b])
-                    pairs.append(np.stack([a[hit], b[hit]], axis=1))
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        a, b = found.T
-        # In one list each meets the other; of different lists, the nearer to the plane counts for both.
-        same = q_home[a] == y_home[b]
-        far = index.planes(q[a], q_home[a], y_home[b]) - index.planes(y[b], y_home[b], q_home[a])
-        first = ~same & ((far < 0) | (far == 0) & (q_id[a] < y_id[b]))
-        a, b, same = a[same | first], b[same | first], same[same | first]
-        if not len(a):
-            return empty
-        names, node = np.unique(np.concatenate([q_id, y_id]), return_inverse=True)
-        root = names[spanning(len(names), node[a], node[len(q) + b])]
-        total = np.bincount(node[a], y_copies[b], len(names)) + np.bincount(node[len(q) + b[~same]], q_copies[a[~same]], len(names))
-        use = (total > 0) | (root != names)
-        return pa.table({"id": names[use].astype(np.int64), "links": total[use].astype(np.int64), "root": root[use].astype(np.int64)})
+                for k in range(0, len(mine), 1024):
+                    own = mine[k : k + 1024]
+                    near = index.distances(q[part] - index.coarse[g], codes[own]) <= (error[own] + reach + 1e-4)[None, :]
+                    i, j = np.nonzero(near)
+                    for n in range(0, len(i), 50_000):
+                        a, b = part[i[n : n + 50_000]], own[j[n : n + 50_000]]
+                        hit = (np.einsum("ij,ij->i", q[a], y[b]) >= cosine) & (q_id[a] != y_id[b])
+                        if hit.any():
+                            found(a[hit], b[hit])
+        use = (total > 0) | (root != np.arange(len(names)))
+        return pa.table({"id": names[use].astype(np.int64), "links": total[use], "root": names[root[use]].astype(np.int64)})
 
     members = placed.where("code IS NOT NULL").select("g", "id", "copies", "data", "code", "error", "home")
     queries = placed.select("g", "id", "copies", "data", "home")
