@@ -41,7 +41,10 @@ def test_spanning_and_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_hmm_base_and_probability(spark, docs):
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_hmm_base_and_probability(spark, docs, monkeypatch, blocks):
+    monkeypatch.setattr(hmm, "SPAN", 2)
+    docs = docs.repartition(blocks)
     made = hmm.scores(docs, F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False)), states=3, iterations=2).collect()
     tokens = lambda t: (t or "").encode().lower().split() + [None]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
