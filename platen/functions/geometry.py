@@ -173,6 +173,20 @@ def rotate(x: Column, y: Column, centre_x: Column, centre_y: Column, degrees: Co
     return F.struct((centre_x + (x - centre_x) * c - (y - centre_y) * s).alias("x"), (centre_y + (x - centre_x) * s + (y - centre_y) * c).alias("y"))
 
 
+def inverse_rotation(width: Column, height: Column, degrees: Column) -> Column:
+    """The affine map, row by row, that undoes a rotation about the middle of a page."""
+    c, s, x, y = F.cos(F.radians(-degrees)), F.sin(F.radians(-degrees)), width / 2, height / 2
+    return F.array(F.round(c, 10), F.round(-s, 10), F.round(x - c * x + s * y, 6), F.round(s, 10), F.round(c, 10), F.round(y - s * x - c * y, 6))
+
+
+def quadrants(width: Column, height: Column) -> Column:
+    """Four boxes (whole numbers) of a page, by rows."""
+    x, y = F.floor(width / 2), F.floor(height / 2)
+    whole = lambda v: (F.lit(v) if isinstance(v, int) else v).cast("long")
+    box = lambda *v: F.struct(*[whole(e).alias(n) for n, e in zip(("x0", "y0", "x1", "y1"), v, strict=True)])
+    return F.array(box(0, 0, x, y), box(x, 0, width, y), box(0, y, x, height), box(x, y, width, height))
+
+
 def padded_box(box: Column, left: float, top: float, right: float, bottom: float, width: Column, height: Column) -> Column:
     return F.struct(
         F.greatest(box["x0"] - left, F.lit(0.0)).alias("x0"), F.greatest(box["y0"] - top, F.lit(0.0)).alias("y0"), F.least(box["x1"] + right, width).alias("x1"), F.least(box["y1"] + bottom, height).alias("y1")

@@ -12,9 +12,16 @@ from pyspark.sql import types as T
 
 #: Code points that end a line.
 LINE_ENDS = "\n\x0b\x0c\r\x85\u2028\u2029"
-#: Face names that a font name may end in, and the weights that keywords stand for, first match first.
-FACES = ("BoldItalic", "BoldOblique", "Bold", "Italic", "Oblique", "Regular", "Roman", "Medium", "Light")
-WEIGHTS = (("thin", 100), ("extralight", 200), ("light", 300), ("medium", 500), ("semibold", 600), ("extrabold", 800), ("black", 900), ("bold", 700))
+#: The faces that a base font may declare after a hyphen.
+FACES = ("BoldItalic", "BoldOblique", "Regular", "Bold", "Italic", "Oblique")
+#: The weights that words in a style stand for, first match first.
+WEIGHTS = (
+    ("thin", 100), ("extralight", 200), ("ultralight", 200), ("light", 300), ("medium", 500), ("semibold", 600),
+    ("demibold", 600), ("extrabold", 800), ("ultrabold", 800), ("black", 900), ("heavy", 900), ("bold", 700),
+)
+#: What may end a declared font name after its family, and after that.
+STYLE_ENDS = "regular|roman|bold|semibold|demibold|light|italic|oblique|bolditalic|boldoblique"
+ENCODING_ENDS = "Identity-[HV]|WinAnsiEncoding"
 
 
 def big_endian(data: Column) -> Column:
@@ -54,14 +61,32 @@ def line_end(text: Column) -> Column:
     return F.when(at > 0, at - 1)
 
 
-def base_font(name: Column) -> Column:
-    """family, face and subset of a font name: ABCDEF+Family-Face with or without an identity suffix."""
+def base_font(name: Column, requested: Column | None = None) -> Column:
+    """family, key (of the family), face and subset of a base font: ABCDEF+Family-Face-Identity-H; null where it can't be classified.
+
+    That is: a sign beyond ASCII, a second plus, nothing left, an identity or a face that still stands between hyphens in the
+    family, or a family without key. requested is a family's key: a name that is that family with an unknown end isn't classified either.
+    """
     subset = F.nullif(F.regexp_extract(name, r"^([A-Z]{6})\+", 1), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(name, r"^[A-Z]{6}\+", ""), r"-Identity-[HV]$", "")
-    face = F.regexp_extract(bare, rf"[-,]({'|'.join(FACES)})$", 1)
-    family = F.regexp_replace(bare, rf"[-,]({'|'.join(FACES)})$", "")
-    valid = family.rlike(r"^[A-Za-z0-9 _-]+$")
-    return F.when(valid, F.struct(family.alias("family"), F.nullif(face, F.lit("")).alias("face"), subset.alias("subset")))
+    rest = F.regexp_replace(name, r"^[A-Z]{6}\+", "")
+    bare = F.regexp_replace(rest, r"-Identity-[HV]\z", "")
+    ends = "|".join(FACES)
+    face = F.nullif(F.regexp_extract(bare, rf"-({ends})\z", 1), F.lit(""))
+    stem = F.regexp_replace(bare, rf"-({ends})\z", "")
+    key = family_key(stem)
+    valid = name.rlike(r"\A\p{ASCII}+\z") & ~F.contains(rest, F.lit("+")) & ~bare.rlike(r"(?i)(^|-)identity-[hv](-|\z)") & ~stem.rlike(rf"(?i)(^|-)({ends})(-|\z)") & key.isNotNull()
+    if requested is not None:
+        opaque = face.isNull() & (key != requested) & (family_key(F.regexp_extract(stem, r"^(.*)-[^-]+\z", 1)) == requested)
+        valid &= ~F.coalesce(opaque, F.lit(False))
+    return F.when(valid, F.struct(stem.alias("family"), key.alias("key"), face.alias("face"), subset.alias("subset")))
+
+
+def font_hypothesis(name: Column) -> Column:
+    """family, style and weight that a declared font name suggests."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"^[A-Z]{6}\+", ""), rf"(?i)-({ENCODING_ENDS})\z", "")
+    low = F.lower(bare)
+    weight = F.when(low.rlike("semibold|demibold"), "semibold").when(low.contains("bold"), "bold").when(low.contains("light"), "light").otherwise("regular")
+    return F.struct(F.regexp_replace(bare, rf"(?i)[-,]({STYLE_ENDS})\z", "").alias("family"), style_of(bare).alias("style"), weight.alias("weight"))
 
 
 def family_key(name: Column) -> Column:
@@ -69,8 +94,9 @@ def family_key(name: Column) -> Column:
     return F.when(name.rlike(r"^[A-Za-z0-9 _-]*[A-Za-z0-9][A-Za-z0-9 _-]*$"), F.lower(F.regexp_replace(name, "[ _-]", "")))
 
 
-def weight_of(name: Column) -> Column:
-    low = F.lower(F.regexp_replace(name, "[ _-]", ""))
+def weight_of(style: Column) -> Column:
+    """The weight number that a style's name stands for; 400 for none."""
+    low = F.replace(F.lower(style), F.lit(" "), F.lit(""))
     out = F.lit(400)
     for word, weight in reversed(WEIGHTS):
         out = F.when(F.contains(low, F.lit(word)), weight).otherwise(out)
@@ -88,16 +114,28 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(None)).when((n > 0) & (other > 0), (other - 1).cast("int")).otherwise(n)
 
 
-@F.pandas_udf(T.StringType())
-def word_key(text: pd.Series) -> pd.Series:
-    """Without white space, casefolded."""
-    return text.map(lambda x: None if x is None else "".join(x.split()).casefold()).astype(object)
+#: Letters that folding of case turns into others than lower case does.
+FOLDS = (("ß", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
+def folded(text: Column) -> Column:
+    """Without case: lower case, and what FOLDS lists."""
+    out = F.lower(text)
+    for letter, others in FOLDS:
+        out = F.replace(out, F.lit(letter), F.lit(others))
+    return out
+
+
+def word_key(text: Column) -> Column:
+    """Without white space and case."""
+    return folded(F.regexp_replace(text, r"(?U)\s+", ""))
 
 
 def normalised(markup: Column) -> Column:
-    """Without tags, white space runs as one space, in lower case."""
-    bare = F.regexp_replace(markup, r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(F.lower(bare), r"(?U)\s+", " "))
+    """The words of a text: without tags, marks that lead a line, other signs and case, one space between them."""
+    bare = F.regexp_replace(F.regexp_replace(markup, r"(?i)<img\b[^>]*>", " "), r"<[^>]+>", " ")
+    bare = F.regexp_replace(bare, r"(?md)^[#>*+\-]+\s*", "")
+    return F.array_join(F.regexp_extract_all(folded(bare), F.lit(r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)?"), 0), " ")
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType()) for n in ("xheight", "ascender", "descender", "marks")]))
@@ -125,23 +163,11 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(T.StringType())
-def logical_order(text: pd.Series) -> pd.Series:
-    """Visual order to logical: runs of right-to-left letters are reversed."""
-
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        out, run = [], []
-        for c in x:
-            if unicodedata.bidirectional(c) in ("R", "AL"):
-                run.append(c)
-                continue
-            out += run[::-1] + [c]
-            run = []
-        return "".join(out + run[::-1])
-
-    return text.map(one).astype(object)
+@F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType()) for n in ("left", "right")]))
+def directions(text: pd.Series) -> pd.DataFrame:
+    """Whether a text has letters that run from the left, and from the right."""
+    kinds = [{unicodedata.bidirectional(c) for c in x or ""} for x in text]
+    return pd.DataFrame([("L" in k, bool(k & {"R", "AL"})) for k in kinds], columns=["left", "right"])
 
 
 def escaped(text: Column) -> Column:
