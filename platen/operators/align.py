@@ -10,21 +10,55 @@ from pyspark.sql import functions as F
 from .grouping import dealt
 
 
+#: Cells of a table that are held at a time, besides one row for each block of rows.
+CELLS = 8_000_000
+
+
+def _blocks(n: int, m: int, cost: int) -> int:
+    """Rows of a block: those of a block and one kept for each block, of cost cells a place, take least together."""
+    return max(1, min(n, int((cost * n) ** 0.5) + 1, CELLS // (m + 1) + 1))
+
+
 def lcs(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence: matches are taken as they come, and of equal ways the left side goes on."""
-    codes = {x: n for n, x in enumerate(dict.fromkeys([*a, *b]))}
+    """Pairs of a longest common subsequence: matches are taken as they come, and of equal ways the left side goes on.
+
+    The table of lengths is never held whole: a row is kept for each block of rows, in one bit a place, and a block's rows are
+    made again when the way comes through it. What has no equal on the right is passed over first, which no way notices.
+    """
+    own = set(b)
+    places = [i for i, x in enumerate(a) if x in own]
+    codes = {x: n for n, x in enumerate(dict.fromkeys(b))}
+    left = [codes[a[i]] for i in places]
     right = np.array([codes[x] for x in b], np.int64)
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
+    n, m = len(left), len(b)
+    size = _blocks(n, m, 1)
+
+    def above(i: int, row: np.ndarray) -> np.ndarray:
         # A match is never worse than a step on either side, so the row is a running maximum from its end.
-        row = np.where(right == codes[a[i]], best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+        best = np.where(right == left[i], row[1:] + 1, row[:-1])
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
+
+    kept: dict[int, np.ndarray] = {}
+    row = np.zeros(m + 1, np.int32)
+    for i in range(n - 1, -1, -1):
+        if (i + 1) % size == 0:
+            kept[i + 1] = np.packbits((row[:-1] - row[1:]).astype(bool))
+        row = above(i, row)
     out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
+    held: list[np.ndarray] = []
+    first = last = 0
+    while i < n and j < m:
+        if not held or i >= last:
+            first, last = i - i % size, min(n, i - i % size + size)
+            steps = np.unpackbits(kept[last], count=m) if last in kept else np.zeros(m, np.uint8)
+            held = [np.append(np.cumsum(steps[::-1], dtype=np.int32)[::-1], np.int32(0))]
+            for k in range(last - 1, first - 1, -1):
+                held.append(above(k, held[-1]))
+            held.reverse()
+        if left[i] == right[j]:
+            out.append((places[i], j))
             i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
+        elif held[i + 1 - first][j] >= held[i - first][j + 1]:
             i += 1
         else:
             j += 1
@@ -32,21 +66,38 @@ def lcs(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def cost_alignment(a: list[float], b: list[float], skip: float = 0.35, cap: float = 0.7, slope: float = 3.0, vertical: list[list[float]] | None = None) -> list[tuple[int | None, int | None]]:
-    """The cheapest way through both: a pair costs its capped difference, a skip its price; of equal ways (to 1e-12) the pair, then a skip on the left."""
+    """The cheapest way through both: a pair costs its capped difference, a skip its price; of equal ways (to 1e-12) the pair, then a skip on the left.
+
+    A row of costs is kept for each block of rows; a block's moves are made again when the way comes through it.
+    """
     n, m = len(a), len(b)
     right, steps = np.array(b, float), np.arange(m + 1) * skip
-    cost, move = steps.copy(), np.full((n + 1, m + 1), 3, np.int8)
-    for i in range(1, n + 1):
+    size = _blocks(n, m, 8)
+
+    def below(i: int, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pair = np.full(m + 1, np.inf)
         pair[1:] = cost[:-1] + np.minimum(cap, slope * np.abs(a[i - 1] - right) + (np.array(vertical[i - 1]) if vertical else 0.0))
         up = cost + skip
         # Skips on the right add up along the row.
-        cost = np.minimum.accumulate(np.minimum(pair, up) - steps) + steps
-        move[i] = np.where(pair <= cost + 1e-12, 1, np.where(up <= cost + 1e-12, 2, 3))
+        best = np.minimum.accumulate(np.minimum(pair, up) - steps) + steps
+        return best, np.where(pair <= best + 1e-12, 1, np.where(up <= best + 1e-12, 2, 3)).astype(np.int8)
+
+    kept, cost = {0: steps.copy()}, steps.copy()
+    for i in range(1, n + 1):
+        cost, _ = below(i, cost)
+        if i % size == 0:
+            kept[i] = cost
     out: list[tuple[int | None, int | None]] = []
-    i, j = n, m
+    i, j, first = n, m, n + 1
+    moves: list[np.ndarray] = []
     while i or j:
-        k = move[i, j]
+        if i and i <= first:
+            first = (i - 1) // size * size
+            cost, moves = kept[first], []
+            for k in range(first + 1, i + 1):
+                cost, move = below(k, cost)
+                moves.append(move)
+        k = moves[i - first - 1][j] if i else 3
         if k == 1:
             i, j = i - 1, j - 1
             out.append((i, j))

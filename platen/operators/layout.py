@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantile import quantiles
+
 
 def insets(lines: DataFrame, page: list[str], width: str, height: str) -> DataFrame:
     """page with envelope and what the page leaves around it; unknown (null, reason) if a line has no box."""
@@ -30,13 +32,21 @@ def first_indent(lines: DataFrame, group: list[str], order: str) -> DataFrame:
 
 
 def masters(pages: DataFrame, side: str, measures: list[str]) -> DataFrame:
-    """Median of each measure per side, and the number of pages."""
-    return pages.groupBy(side).agg(F.count("*").alias("pages"), *[F.median(m).alias(f"median_{m}") for m in measures])
+    """Median of each measure per side, and the number of pages. Sides are few and large, so no task holds one."""
+    out = pages.groupBy(side).agg(F.count("*").alias("pages"))
+    for m in measures:
+        out = out.join(quantiles(pages, [side], m, {f"median_{m}": 0.5}), side, "left")
+    return out
 
 
 def frozen_audit(pages: DataFrame, side: str, measure: str, most: float = 0.15) -> DataFrame:
     """pages with deviation from their side's median and mark: whether it exceeds that share of it; null where the median is 0."""
-    profile = pages.groupBy(side).agg(F.median(measure).alias("frozen"))
-    rows = pages.join(F.broadcast(profile), side)  # a row per side
+    rows = pages.join(quantiles(pages, [side], measure, {"frozen": 0.5}), side)
     deviation = F.try_divide(F.abs(F.col(measure) - F.col("frozen")), F.abs("frozen"))
     return rows.withColumn("deviation", deviation).withColumn("mark", F.col("deviation") > most)
+
+
+def leading(lines: DataFrame, group: list[str], order: str, baseline: str) -> DataFrame:
+    """group, steps, leading: how many baselines lie below the one before, and the median of those distances."""
+    step = F.lead(baseline).over(Window.partitionBy(*group).orderBy(order)) - F.col(baseline)
+    return lines.withColumn("__step", step).where("__step > 0").groupBy(*group).agg(F.count("*").alias("steps"), F.median("__step").alias("leading"))

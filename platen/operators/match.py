@@ -92,6 +92,44 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, righ
     return pairs.groupBy(left_id).agg(F.min_by(right_id, F.struct(*[d.alias(f"d{i}") for i, d in enumerate(distances)], F.col(right_id).alias("id"))).alias(right_id))
 
 
+def nearest_value(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, value: str, digits: int, width: float) -> DataFrame:
+    """left_id, right_id, distance: per left row the right row of its group whose value, rounded to digits, is nearest; ties go to the smaller id.
+
+    No pairs are made: in cells of that width sorted neighbours are found by a window, and what lies nearest beyond a cell by one over
+    the cells' ends. A group of any size is cut into its cells; null where a group has no right row.
+    """
+    whole = F.round(F.col(value) * 10**digits).cast("long")
+    cell = F.floor(F.col("v") / F.lit(int(width * 10**digits)))
+    own = left.where(F.col(value).isNotNull()).select(*on, F.col(left_id).alias("l"), whole.alias("v")).withColumn("cell", cell)
+    marks = right.where(F.col(value).isNotNull()).groupBy(*on, whole.alias("v")).agg(F.min(right_id).alias("r")).withColumn("cell", cell)
+    mark = F.struct("v", "r")
+    ends = marks.groupBy(*on, "cell").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    cells = own.select(*on, "cell").distinct().join(ends, [*on, "cell"], "full")
+    along = Window.partitionBy(*on).orderBy("cell")
+    cells = cells.select(*on, "cell", F.last("high", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("low", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    both = own.withColumn("m", F.lit(None).cast(marks.select(mark.alias("m")).schema["m"].dataType)).unionByName(marks.withColumn("m", mark).withColumn("l", F.lit(None).cast(own.schema["l"].dataType)).drop("r"))
+    inside = Window.partitionBy(*on, "cell").orderBy("v")
+    both = both.withColumn("down", F.last("m", True).over(inside.rangeBetween(Window.unboundedPreceding, 0))).withColumn("up", F.first("m", True).over(inside.rangeBetween(0, Window.unboundedFollowing)))
+    rows = both.where("l IS NOT NULL").join(cells, [*on, "cell"])
+    far = F.transform(F.filter(F.array("down", "up", "before", "after"), lambda x: x.isNotNull()), lambda x: F.struct(F.abs(x["v"] - F.col("v")).alias("d"), x["r"].alias("r")))
+    best = F.array_min(far)
+    return rows.select(F.col("l").alias(left_id), best["r"].alias(right_id), (best["d"] / 10**digits).alias("distance"))
+
+
+def parent_lines(parents: DataFrame, units: DataFrame, candidates: DataFrame, parent: str, text: str, candidate: str, gate: Column) -> DataFrame:
+    """parent, candidate, failure: the only candidate line of a parent's text that no other parent has.
+
+    parents: the ids that words refer to; units: parent, text and what gate (see claims.gate) looks at. Failures: unmatched (no such
+    unit or no such line), ambiguous, collision, or what the gate says of the text's claim.
+    """
+    own = parents.select(parent).distinct().join(units.withColumn("__gate", gate), parent, "left")
+    asked = own.where(F.coalesce(F.col("__gate") == "ok", F.lit(True))).select(parent, text)
+    found = unique_join(asked, candidates.where(F.col(text).isNotNull()), [text], parent, candidate)
+    found = found.select(parent, candidate, F.when(F.col("status") != "matched", F.col("status")).alias("failure"))
+    refused = own.where(F.col("__gate") != "ok").select(parent, F.lit(None).cast(found.schema[candidate].dataType).alias(candidate), F.col("__gate").alias("failure"))
+    return found.unionByName(refused)
+
+
 def best_or_tied(pairs: DataFrame, left_id: str, right_id: str, score: str, least: float) -> DataFrame:
     """Per left row the right row of the best score, from least on; an exact tie assigns none."""
     top = pairs.where(F.col(score) >= least).groupBy(left_id).agg(F.max(score).alias("best"))

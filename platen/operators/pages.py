@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grouping import dealt
 
-#: Formats that are sent to all tasks.
-FORMATS = 64
-
-
 def by_index(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The i-th cluster of one side meets the i-th of the other; a surplus stays alone."""
     return left.join(right, keys, "full")
@@ -61,14 +59,24 @@ def diagonal_runs(pairs: DataFrame, group: list[str], left: str, right: str) ->
 
 
 def best_format(pages: DataFrame, formats: DataFrame, page: str, width: Column, height: Column, most: float) -> DataFrame:
-    """page, format: the smallest larger error, then sum of errors, then name; null above most. formats (name, w, h): at most FORMATS rows, sent to all tasks; more are an error."""
-    if formats.limit(FORMATS + 1).count() > FORMATS:
-        raise ValueError(f"more than {FORMATS} formats")
-    ew, eh = F.abs(width / F.col("w") - 1), F.abs(height / F.col("h") - 1)
-    pairs = pages.withColumn("__one", F.lit(1)).join(F.broadcast(formats.withColumn("__one", F.lit(1))), "__one")
+    """page, format: the smallest larger error, then sum of errors, then name; null where none is within most, which is less than 1.
+
+    formats (name, w, h) may be any number: a size within most lies in the same cell of a logarithmic grid or in one beside it, so
+    pages meet only formats of about their size.
+    """
+    if not 0 < most < 1:
+        raise ValueError("an error lies between 0 and 1")
+    step = -math.log(1 - most)
+    cell = lambda x: F.floor(F.ln(x) / step)
+    near = lambda x: F.explode(F.sequence(F.floor(F.ln(x / (1 + most)) / step - 1e-9), F.floor(F.ln(x / (1 - most)) / step + 1e-9)))
+    sized = pages.select(F.col(page).alias("__page"), width.alias("__w"), height.alias("__h")).where("__w > 0 AND __h > 0")
+    sized = sized.withColumn("__cw", near(F.col("__w"))).withColumn("__ch", near(F.col("__h")))
+    ready = formats.select("name", "w", "h", cell(F.col("w")).alias("__cw"), cell(F.col("h")).alias("__ch"))
+    ew, eh = F.abs(F.col("__w") / F.col("w") - 1), F.abs(F.col("__h") / F.col("h") - 1)
     key = F.struct(F.greatest(ew, eh).alias("worst"), (ew + eh).alias("total"), F.col("name").alias("name"))
-    made = pairs.groupBy(page).agg(F.min(key).alias("b"))
-    return made.select(page, F.when(F.col("b.worst") <= most, F.col("b.name")).alias("format"))
+    pairs = sized.join(ready, ["__cw", "__ch"]).select("__page", key.alias("key")).where(F.col("key.worst") <= most)
+    made = pairs.groupBy(F.col("__page").alias(page)).agg(F.min("key")["name"].alias("format"))
+    return pages.select(page).join(made, page, "left")
 
 
 def geometry_independent(child_value: Column, parent_value: Column, child_evidence: Column, parent_evidence: Column) -> Column:

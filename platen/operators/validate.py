@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -21,12 +23,14 @@ def sibling_order(rows: DataFrame, group: list[str], parent: str, order: str) ->
 
 
 def cyclic(edges: DataFrame, node: str, up: str) -> DataFrame:
-    """node: those that lie on a cycle or reach one, by pointer doubling over single parents; as many rounds as the longest chain has bits."""
-    known = edges.select(F.col(node).alias("n"), F.col(up).alias("u"))
-    limit = max(1, known.count()).bit_length() + 1
-    for _ in range(limit):
-        ups = known.select(F.col("n").alias("m"), F.col("u").alias("uu"))
-        known = known.join(ups, known.u == ups.m, "left").select("n", F.when(F.col("u").isNotNull(), F.col("uu")).alias("u"))
+    """node: those that lie on a cycle or reach one, by pointer doubling over single parents; at most as many rounds as the longest
+    chain has bits. Each round is checkpointed, so the plan doesn't grow, and it ends when no pointer is left."""
+    known = cut(edges.select(F.col(node).alias("n"), F.col(up).alias("u")))
+    for _ in range(max(1, known.count()).bit_length() + 1):
+        open_ = known.where("u IS NOT NULL")
+        known = cut(open_.join(known.select(F.col("n").alias("m"), F.col("u").alias("uu")), F.col("u") == F.col("m"), "left").select("n", F.col("uu").alias("u")))
+        if known.where("u IS NOT NULL").isEmpty():
+            break
     return known.where("u IS NOT NULL").select(F.col("n").alias(node))
 
 
