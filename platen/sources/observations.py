@@ -161,6 +161,14 @@ def _acyclic(parents: dict[str, list[str]], path: str) -> None:
     return None
 
 
+#: Fixed value: the spacing of doubles at one.
+EPSILON = 2.220446049250313e-16
+
+
+def _same_known(a: dict, b: dict) -> bool:
+    return a["status"] == b["status"] == "known" and a["value"] == b["value"] and a["evidence"] == b["evidence"]
+
+
 def _contract(doc: dict) -> None:
     """Between the parts of a document: identities, references, hierarchy, spans, claims, frames."""
     raster, frame = doc["source"]["raster"], doc["raster_frame"]
@@ -198,7 +206,7 @@ def _contract(doc: dict) -> None:
     if mapping is not None:
         m = mapping["matrix"]
         det = m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
-        if mapping["source_frame_id"] != frame["id"] or not abs(det) > 2.220446049250313e-16 or mapping["max_error_pt"] < 0:
+        if mapping["source_frame_id"] != frame["id"] or not abs(det) > EPSILON or mapping["max_error_pt"] < 0:
             raise Fault("$.page_mapping.value", "another frame, a singular matrix or a negative error")
     units: dict[str, dict] = {}
     for n, u in enumerate(doc["units"]):
@@ -231,6 +239,19 @@ def _contract(doc: dict) -> None:
                 raise Fault(f"{path}.geometry.{name}", "another frame, outside of it, or too few points")
             if name == "bbox" and not (value["x0"] < value["x1"] and value["y0"] < value["y1"]):
                 raise Fault(f"{path}.geometry.bbox", "without area")
+            if mapping is not None:
+                corners = [(x, y) for x in (value["x0"], value["x1"]) for y in (value["y0"], value["y1"])] if name == "bbox" else points
+                for x, y in corners:
+                    d = mapping["matrix"][6] * x + mapping["matrix"][7] * y + mapping["matrix"][8]
+                    if not abs(d) > EPSILON or abs(d) == float("inf"):
+                        raise Fault("$.page_mapping.value.matrix", "a denominator vanishes at observed geometry")
+            if up is not None and _same_known(u["geometry"][name], units[up]["geometry"][name]):
+                raise Fault(f"{path}.geometry", "copies the parent's geometry and evidence")
+        box, outline = (u["geometry"][x].get("value") if u["geometry"][x]["status"] == "known" else None for x in ("bbox", "polygon"))
+        if box is not None and outline is not None:
+            xs, ys = zip(*outline["points"], strict=True)
+            if any(abs(x - y) > 1e-9 for x, y in zip((box["x0"], box["y0"], box["x1"], box["y1"]), (min(xs), min(ys), max(xs), max(ys)), strict=True)):
+                raise Fault(f"{path}.geometry", "a known box is the envelope of a known polygon")
     _acyclic({k: [u["parent_id"]] if u.get("parent_id") is not None else [] for k, u in units.items()}, "$.units")
 
 
