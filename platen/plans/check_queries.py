@@ -84,7 +84,10 @@ def markup_segments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(tags).alias("segment", "tag")).select("page_id", F.col("segment").cast("long").alias("segment"), "tag")
 
 
-@query(r"SELECT page_id, md5(trim(regexp_replace(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '\s+', ' ', 'g'))) AS text_md5 FROM pages")
+@query(
+    r"""SELECT page_id, md5(array_to_string(regexp_extract_all(replace(replace(lower(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<img\b[^>]*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?m)^[#>*+\-]+\s*', '', 'g')), 'ß', 'ss'), 'ς', 'σ'),
+  '[\p{L}\p{N}_]+(?:[''’][\p{L}\p{N}_]+)?'), ' ')) AS text_md5 FROM pages"""
+)
 def text_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(t.normalised(F.col("html"))).alias("text_md5"))
 

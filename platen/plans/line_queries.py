@@ -25,11 +25,10 @@ matched AS (
 )"""
 )
 WORDS = """words AS (
-  SELECT unit, doc_id, line_no, word, start AS start, start + len(word) AS stop, row_number() OVER (PARTITION BY unit ORDER BY start) - 1 AS word_no FROM (
-    SELECT unit, doc_id, line_no, p[i + 1] AS word, i + list_sum(list_transform(p[1:i], lambda x: len(x))) AS start FROM (
-      SELECT unit, doc_id, line_no, p, unnest(range(0, len(p))) AS i FROM (SELECT *, string_split(line, ' ') AS p FROM lines))) WHERE word <> ''
+  SELECT unit, doc_id, line_no, word, stop - len(word) AS start, stop, row_number() OVER (PARTITION BY unit ORDER BY i) - 1 AS word_no FROM (
+    SELECT *, sum(len(word) + 1) OVER (PARTITION BY unit ORDER BY i) - 1 AS stop FROM (
+      SELECT unit, doc_id, line_no, unnest(range(0, len(p))) AS i, unnest(p) AS word FROM (SELECT *, string_split(line, ' ') AS p FROM lines))) WHERE word <> ''
 )"""
-WORDS = WORDS.replace("list_sum(list_transform(p[1:i], lambda x: len(x)))", "coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0)")
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +86,13 @@ def unmatched_both_sides(spark, sf_dir):
     return a.union(b)
 
 
+def words_in(lines: DataFrame, keys: list[str]) -> DataFrame:
+    rows = cluster.words_of(lines, keys, "line")
+    return rows.select(*keys, F.col("word_no").cast("long").alias("word_no"), "word", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+
+
 def words_of(spark, sf_dir) -> DataFrame:
-    rows = cluster.words_of(lines_of(spark, sf_dir), ["unit", "doc_id", "line_no"], "line")
-    return rows.select("unit", "doc_id", "line_no", F.col("word_no").cast("long").alias("word_no"), "word", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+    return words_in(lines_of(spark, sf_dir), ["unit", "doc_id", "line_no"])
 
 
 @query(f"WITH {LINES}, {WORDS} SELECT unit, CAST(word_no AS BIGINT) AS word_no, word, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM words")
@@ -103,10 +106,13 @@ def word_segmentation(spark, sf_dir):
 ) SELECT l.unit, CAST(l.word_no AS BIGINT) AS word_no, CAST(r.word_no AS BIGINT) AS candidate_word FROM l JOIN words r ON r.unit = l.line AND r.start = l.start AND r.stop = l.stop AND r.word = l.word"""
 )
 def word_span_join(spark, sf_dir):
-    words = words_of(spark, sf_dir)
-    lines = matches(spark, sf_dir).where("status = 'matched'").select("unit", "candidate")
-    left = words.join(lines, "unit").select(F.col("candidate").alias("line"), "start", F.col("stop").alias("end"), F.col("word").alias("text"), F.struct("unit", "word_no").alias("left_id"))
-    right = words.where("doc_id % 2 = 1").select(F.col("unit").alias("line"), "start", F.col("stop").alias("end"), F.col("word").alias("text"), F.col("word_no").alias("candidate_word"))
+    """Lines are matched first; only words of matched lines are cut out and met."""
+    own, other = sides(lines_of(spark, sf_dir))
+    pairs = matches(spark, sf_dir).where("status = 'matched'").select("unit", "candidate")
+    left = words_in(own.join(pairs, "unit"), ["unit", "candidate"])
+    left = left.select(F.col("candidate").alias("line"), "start", F.col("stop").alias("end"), F.col("word").alias("text"), F.struct("unit", "word_no").alias("left_id"))
+    right = words_in(other.join(pairs, "candidate", "left_semi"), ["candidate"])
+    right = right.select(F.col("candidate").alias("line"), "start", F.col("stop").alias("end"), F.col("word").alias("text"), F.col("word_no").alias("candidate_word"))
     found = match.word_join(left, right, "left_id", "candidate_word").where("status = 'matched'")
     return found.select("left_id.unit", "left_id.word_no", "candidate_word")
 
@@ -210,9 +216,10 @@ def ink_runs(spark, sf_dir):
 
 @query(None)
 def lcs_pairs(spark, sf_dir):
-    """Lines of a document and of the next one, aligned by the two letters that they begin with."""
-    rows = lines_of(spark, sf_dir).withColumn("pair", F.floor(F.col("doc_id") / 2)).withColumn("head", F.left("line", F.lit(2)))
-    return align.lcs_pairs(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "pair", "line_no", "head")
+    """Lines of a document and of a later state of it, in which every fifth line is gone and some have another end."""
+    rows = lines_of(spark, sf_dir)
+    changed = F.when(F.col("line_no") % 7 == 3, F.concat("line", F.lit("!"))).otherwise(F.col("line"))
+    return align.lcs_pairs(rows, rows.where("line_no % 5 <> 4").withColumn("line", changed), "doc_id", "line_no", "line")
 
 
 @query(None)
@@ -222,7 +229,12 @@ def line_alignment(spark, sf_dir):
     return align.line_alignment(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "pair", "line_no", "extent")
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {LINES}, o AS (SELECT doc_id, line_no, CAST(len(line) AS DOUBLE) AS y, row_number() OVER (PARTITION BY doc_id ORDER BY len(line), line_no) AS k FROM lines),
+f AS (SELECT doc_id, line_no, k, y AS anchor, CAST(0 AS BIGINT) AS cluster FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.line_no, o.k, CASE WHEN abs(o.y - f.anchor) > 20 THEN o.y ELSE f.anchor END, f.cluster + CASE WHEN abs(o.y - f.anchor) > 20 THEN 1 ELSE 0 END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)
+SELECT doc_id, line_no, cluster FROM f"""
+)
 def anchor_clusters(spark, sf_dir):
     """Lines of a document by the position of their first character against the first line of the cluster."""
     rows = lines_of(spark, sf_dir).select("doc_id", "line_no", F.col("line_no").cast("double").alias("x"), F.length("line").cast("double").alias("y"), F.lit(40.0).alias("size"))

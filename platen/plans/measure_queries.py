@@ -9,6 +9,7 @@ from platen.functions import rules
 from platen.functions import status as verdicts
 from platen.functions import text as t
 from platen.operators import aggregate, cluster, layout, match, search
+from platen.operators.quantile import quantiles
 
 from .catalogue import query, table
 
@@ -200,9 +201,9 @@ def hypothesis_grid(spark, sf_dir):
 
 @query("SELECT s_suppkey, arg_min(c_custkey, ROW(round(abs(s_acctbal - c_acctbal), 4), c_custkey)) AS c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey")
 def nearest_region(spark, sf_dir):
-    left = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
-    right = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
-    return match.nearest(left, right, ["nation"], "s_suppkey", "c_custkey", [F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 4)])
+    left = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    right = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    return match.nearest_value(left, right, ["nation"], "s_suppkey", "c_custkey", "balance", 2, 100.0).where("c_custkey IS NOT NULL").select("s_suppkey", "c_custkey")
 
 
 @query(
@@ -227,13 +228,18 @@ def consensus_status(spark, sf_dir):
     return made.select("o_orderkey", verdicts.consensus(F.col("p"), F.col("s"), F.col("o_orderstatus") == "F").alias("consensus"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'left' WHEN o_orderpriority LIKE '2%' THEN 'right' WHEN o_custkey % 3 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'left' ELSE 'right' END ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END END AS side FROM orders")
+@query(
+    """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderpriority < '3' THEN (CAST(o_custkey % 900 AS DOUBLE) + CAST(o_custkey % 900 + 40 AS DOUBLE)) / 2000 END AS centre, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey - 20 END AS printed FROM orders)
+SELECT o_orderkey, CASE WHEN centre <= CAST(0.4 AS DOUBLE) THEN 'left' WHEN centre >= CAST(0.6 AS DOUBLE) THEN 'right' WHEN printed > 0 THEN CASE WHEN printed % 2 = 0 THEN 'left' ELSE 'right' END ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'right' ELSE 'left' END END AS side,
+  CASE WHEN centre <= CAST(0.4 AS DOUBLE) OR centre >= CAST(0.6 AS DOUBLE) THEN 'pagination-position' WHEN printed > 0 THEN 'printed-page-parity' ELSE 'physical-sequence' END AS evidence FROM p"""
+)
 def side_classify(spark, sf_dir):
     """Where the page number stands, then a printed number's parity, then the sequence."""
-    parity = lambda x: F.when(x % 2 == 0, "left").otherwise("right")
-    priority = F.col("o_orderpriority")
-    side = F.when(priority.startswith("1"), "left").when(priority.startswith("2"), "right").when(F.col("o_custkey") % 3 == 0, parity(F.col("o_custkey"))).otherwise(parity(F.col("o_orderkey")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", side.alias("side"))
+    at = (F.col("o_custkey") % 900).cast("double")
+    centre = F.when(F.col("o_orderpriority") < "3", (at + (F.col("o_custkey") % 900 + 40).cast("double")) / 2000)
+    printed = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey") - 20)
+    side = rules.page_side(centre, printed, F.col("o_orderkey"), "right")
+    return table(spark, sf_dir, "orders").select("o_orderkey", side["side"].alias("side"), side["evidence"].alias("evidence"))
 
 
 @query(
@@ -333,7 +339,8 @@ def mad_outliers(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.975), 6) AS p975 FROM events GROUP BY event_type")
 def gap_quantiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.percentile("value", 0.975), 6).alias("p975"))
+    made = quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p90": 0.9, "p975": 0.975})
+    return made.select("event_type", F.round("p90", 6).alias("p90"), F.round("p975", 6).alias("p975"))
 
 
 @query(
@@ -378,17 +385,31 @@ def shape_distance(spark, sf_dir):
     return rows.select("vec_id", "other", F.round(g.shape_distance(F.col("a"), F.col("b"), F.lit(1.0), F.lit(1.0)), 6).alias("distance"))
 
 
+#: Font names, and family, face and subset of each; null where a name can't be classified.
+NAMES = (
+    ("ABCDEF+Foo-BoldItalic", "Foo", "BoldItalic", "ABCDEF"), ("Foo-BoldOblique-Identity-H", "Foo", "BoldOblique", None), ("Foo Bar-Regular", "Foo Bar", "Regular", None), ("Foo_2-Bold", "Foo_2", "Bold", None),
+    ("Foo-Italic", "Foo", "Italic", None), ("Foo-Oblique", "Foo", "Oblique", None), ("Times-Roman", "Times-Roman", None, None), ("Foo-bold", None, None, None), ("Foo-Bold-Bold", None, None, None), ("Bold-Foo", None, None, None),
+    ("Arial,Bold", None, None, None), ("ABCDEF+Foo+Bar", None, None, None), ("ABCDEF+", None, None, None), ("abcdef+Foo", None, None, None), ("Fóo-Bold", None, None, None), ("Foo-Identity-H-Bold", None, None, None), ("-Bold", None, None, None), ("Identity-H", None, None, None),
+    ("Foo-Identity-V", "Foo", None, None), ("FooBold", "FooBold", None, None),
+)
+STYLES = (("Thin", 100), ("Extra Light", 200), ("UltraLight", 200), ("Light Italic", 300), ("Medium", 500), ("Semi Bold", 600), ("DemiBold", 600), ("ExtraBold", 800), ("UltraBold", 800), ("Black", 900), ("Heavy", 900), ("Bold", 700), ("Regular", 400), ("Extra-Bold", 700))
+
+
+def _values(rows: tuple) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in (n, *row)) + ")" for n, row in enumerate(rows))
+
+
 @query(
-    """WITH n AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'ABCDEF+' ELSE '' END || replace(p_name, ' ', '') || CASE p_size % 4 WHEN 0 THEN '-Bold' WHEN 1 THEN '-BoldItalic' WHEN 2 THEN '' ELSE '-Odd' END AS name FROM part)
-SELECT p_partkey, regexp_replace(regexp_replace(name, '^[A-Z]{6}\\+', ''), '-(BoldItalic|Bold)$', '') AS family, nullif(regexp_extract(name, '-(BoldItalic|Bold)$', 1), '') AS face,
-  nullif(regexp_extract(name, '^([A-Z]{6})\\+', 1), '') AS subset, CASE WHEN name LIKE '%Bold%' THEN 700 ELSE 400 END AS weight, CASE WHEN name LIKE '%Italic%' THEN 'italic' ELSE 'normal' END AS style FROM n"""
+    f"""WITH n(i, name, family, face, subset) AS (VALUES {_values(NAMES)}), s(j, style, weight) AS (VALUES {_values(STYLES)})
+SELECT p_partkey, name, CASE WHEN family IS NOT NULL THEN family END AS family, face, CASE WHEN family IS NOT NULL THEN subset END AS subset, style, weight, CASE WHEN style LIKE '%Italic' THEN 'italic' ELSE 'normal' END AS slant
+FROM part JOIN n ON i = p_partkey % {len(NAMES)} JOIN s ON j = p_size % {len(STYLES)}"""
 )
 def base_font_classify(spark, sf_dir):
-    size = F.col("p_size")
-    name = F.concat(F.when(size % 2 == 0, "ABCDEF+").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("")), F.when(size % 4 == 0, "-Bold").when(size % 4 == 1, "-BoldItalic").when(size % 4 == 2, "").otherwise("-Odd"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    names = F.element_at(F.array(*[F.lit(x[0]) for x in NAMES]), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))
+    styles = F.element_at(F.array(*[F.lit(x[0]) for x in STYLES]), F.col("p_size") % len(STYLES) + 1)
+    rows = table(spark, sf_dir, "part").select("p_partkey", names.alias("name"), styles.alias("style"))
     font = t.base_font(F.col("name"))
-    return rows.select("p_partkey", font["family"].alias("family"), font["face"].alias("face"), font["subset"].alias("subset"), t.weight_of(F.col("name")).alias("weight"), t.style_of(F.col("name")).alias("style"))
+    return rows.select("p_partkey", "name", font["family"].alias("family"), font["face"].alias("face"), font["subset"].alias("subset"), "style", t.weight_of(F.col("style")).alias("weight"), t.style_of(F.col("style")).alias("slant"))
 
 
 @query(
