@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from platen.functions import claims, geometry, status, text
-from platen.operators import aggregate, align, cluster, layout, match, pages, search, validate
+from platen.operators import aggregate, align, cluster, layout, match, pages, planning, quantile, regions, search, validate
 
 
 def rows(df):
@@ -167,10 +167,115 @@ def test_fonts(spark):
     assert rows(made) == [(1, "italic", "bold", 2), (2, None, None, 0), (3, "normal", "bold", 1)]
 
 
-def test_best_format_refuses_a_long_list(spark):
-    rows = spark.createDataFrame([(1, 100.0, 100.0)], "page int, w0 double, h0 double")
-    formats = spark.createDataFrame([(f"f{n:02}", 164.0 - n, 164.0 - n) for n in range(65)], "name string, w double, h double")
-    best = lambda f: pages.best_format(rows, f, "page", F.col("w0"), F.col("h0"), 0.5).collect()
-    assert [tuple(r) for r in best(formats.where("name > 'f00'"))] == [(1, "f64")]
+def test_best_format_of_any_number(spark):
+    sizes = [(n, 40.0 + 7 * n, 30.0 + 11 * n % 90) for n in range(60)] + [(90, 0.0, 10.0), (91, None, 10.0)]
+    rows = spark.createDataFrame(sizes, "page int, w0 double, h0 double")
+    formats = [(f"f{n:03}", 20.0 + 3 * n, 20.0 + 5 * n % 110) for n in range(150)]
+    made = {r.page: r.format for r in pages.best_format(rows, spark.createDataFrame(formats, "name string, w double, h double"), "page", F.col("w0"), F.col("h0"), 0.3).collect()}
+    for page, w, h in sizes:
+        errors = [(max(abs(w / a - 1), abs(h / b - 1)), abs(w / a - 1) + abs(h / b - 1), name) for name, a, b in formats] if w else [(9.0, 9.0, "")]
+        assert made[page] == (min(errors)[2] if min(errors)[0] <= 0.3 else None)
     with pytest.raises(ValueError):
-        best(formats)
+        pages.best_format(rows, rows, "page", F.col("w0"), F.col("h0"), 1.0)
+
+
+def plain_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def plain_cost(a, b, skip=0.35, cap=0.7, slope=3.0):
+    cost = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            ways = [cost[i - 1][j - 1] + min(cap, slope * abs(a[i - 1] - b[j - 1]))] if i and j else []
+            ways += [cost[i - 1][j] + skip] if i else []
+            ways += [cost[i][j - 1] + skip] if j else []
+            cost[i][j] = min(ways, default=0.0)
+    return cost[-1][-1]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 5), max_size=14), st.sampled_from([1, 12, 40, 8_000_000]))
+def test_alignments_in_blocks(a, b, cells):
+    kept, align.CELLS = align.CELLS, cells
+    try:
+        assert align.lcs(a, b) == plain_lcs(a, b)
+        x, y = [v / 7 for v in a], [v / 7 for v in b]
+        steps = align.cost_alignment(x, y)
+    finally:
+        align.CELLS = kept
+    assert [i for i, _ in steps if i is not None] == list(range(len(a))) and [j for _, j in steps if j is not None] == list(range(len(b)))
+    assert math.isclose(sum(0.35 if i is None or j is None else min(0.7, 3 * abs(x[i] - y[j])) for i, j in steps), plain_cost(x, y), abs_tol=1e-9)
+
+
+def test_quantiles_of_large_groups(spark):
+    import statistics
+
+    values = [float(v) for v in (5, 5, 5, 5, 1, 2, 9, -1e9, 7, 3, 3)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 4.0), ("c", None), ("d", 1.0), ("d", 2.0)], "g string, v double")
+    made = {r.g: (r.m, r.p) for r in quantile.quantiles(df, ["g"], "v", {"m": 0.5, "p": 0.9}).collect()}
+    assert made == {"a": (statistics.median(values), 7.0), "b": (4.0, 4.0), "d": (1.5, pytest.approx(1.9))}
+    big = spark.range(20000).select((F.col("id") % 2).alias("g"), (F.pow(F.col("id") % 5000, 3) / 7).alias("v"))
+    made = {r.g: tuple(r)[1:] for r in quantile.quantiles(big, ["g"], "v", {"m": 0.5, "p": 0.975}).collect()}
+    wanted = {r.g: tuple(r)[1:] for r in big.groupBy("g").agg(F.median("v"), F.percentile("v", 0.975)).collect()}
+    assert {k: pytest.approx(v) for k, v in wanted.items()} == made
+
+
+def test_nearest_value(spark):
+    left = spark.createDataFrame([(1, 0, 5.0), (2, 0, 250.0), (3, 0, -999.5), (4, 1, 7.0), (5, 0, 100.0), (6, 2, None)], "l int, g int, v double")
+    right = spark.createDataFrame([(10, 0, 4.0), (11, 0, 6.0), (12, 0, 240.0), (13, 0, 260.0), (9, 0, 260.0), (20, 0, 9000.0), (21, 2, 1.0)], "r int, g int, v double")
+    assert rows(match.nearest_value(left, right, ["g"], "l", "r", "v", 2, 50.0)) == [(1, 10, 1.0), (2, 9, 10.0), (3, 10, 1003.5), (4, None, None), (5, 11, 94.0)]
+
+
+def test_cycles_keep_the_plan_small(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)] + [(100, 101), (101, 100), (102, 100)], "n int, u int")
+    made = validate.cyclic(chain, "n", "u")
+    assert {r.n for r in made.collect()} == {100, 101, 102}
+    assert len(made._jdf.queryExecution().analyzed().toString().splitlines()) < 8
+
+
+def test_words_of_long_lines(spark):
+    text_ = "  " + " ".join("w" * (n % 5 + 1) + ("😀" if n % 9 == 0 else "") for n in range(1000)) + "\t"
+    made = cluster.words_of(spark.createDataFrame([(1, text_), (2, ""), (3, None), (4, "   ")], "k int, t string"), ["k"], "t").collect()
+    assert {r.k for r in made} == {1} and len(made) == 1000
+    assert all(text_[r.start : r.end] == r.word for r in made) and [r.word_no for r in made] == list(range(1000))
+
+
+def test_evidence_must_fit_its_status(spark):
+    df = spark.createDataFrame([("preserved", None, 0.1, 0.1)], "s string, a double, b double, c double")
+    with pytest.raises(Exception, match="contradicts"):
+        df.select(regions.horizontal_residual(F.col("s"), F.col("a"), F.col("b"), F.col("c"))).collect()
+    with pytest.raises(Exception, match="contradicts"):
+        df.select(regions.baseline_residual(F.lit("unknown"), F.col("b"))).collect()
+    with pytest.raises(Exception, match="residual"):
+        df.select(regions.horizontal_residual(F.lit("unknown"), F.lit(float("inf")), F.col("b"), F.col("c"))).collect()
+
+
+def test_requested_family_with_an_unknown_end(spark):
+    names = spark.createDataFrame([("Foo-Odd",), ("Foo-Bold",), ("Foobar",), ("Bar-Odd",)], "n string")
+    assert [r[0] for r in names.select(text.base_font(F.col("n"), F.lit("foo"))["key"]).collect()] == [None, "foo", "foobar", "barodd"]
+    made = spark.range(1).select(text.font_hypothesis(F.lit("ABCDEF+Foo-SemiBold")), text.font_hypothesis(F.lit("Foo,Italic-Identity-H"))).first()
+    assert [tuple(x) for x in made] == [("Foo", "normal", "semibold"), ("Foo", "italic", "regular")]
+
+
+def test_plans_without_lines_or_mapping(spark):
+    pages_ = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]), (2, None), (3, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "page int, matrix array<double>")
+    kind = "page int, unit string, text string, box struct<x0:double,y0:double,x1:double,y1:double>, key array<long>, baseline array<struct<x:double,y:double>>"
+    box = (0.0, 0.0, 1.0, 1.0)
+    lines = spark.createDataFrame([(1, "b", "two", box, [2], None), (1, "a", "one", box, [10], [(0.0, 0.0)]), (2, "c", "x", box, [0], None)], kind)
+    made = {r.page: r for r in planning.line_plans(pages_, lines, "page").collect()}
+    assert made[1].status == "materializable" and [x.text for x in made[1].lines] == ["two", "one"]
+    assert [made[k].diagnostics[0].code for k in (2, 3)] == ["page-mapping-unknown", "no-lines"] and made[2].lines is None

@@ -43,7 +43,23 @@ def broken(change):
     return json.dumps(doc).encode()
 
 
+def geometry(box, polygon=None, evidence=("p",)):
+    made = {"bbox": claim({"frame_id": "r", **dict(zip(("x0", "y0", "x1", "y1"), box, strict=True))}), "polygon": unknown(), "baseline": unknown()}
+    made["bbox"]["evidence"] = list(evidence)
+    if polygon:
+        made["polygon"] = claim({"frame_id": "r", "points": polygon})
+    return made
+
+
+def mapped(denominator):
+    target = {"id": "t", "unit": "pt", "origin": "top-left", "x_direction": "right", "y_direction": "down", "extent": [10.0, 20.0]}
+    return claim({"source_frame_id": "r", "target_frame": target, "kind": "homography3x3", "matrix": [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, *denominator], "max_error_pt": 0.0})
+
+
 CASES = [
+    (broken(lambda d: [u.update(geometry=geometry((1, 1, 9, 9))) for u in d["units"]]), "$.units[1].geometry"),
+    (broken(lambda d: d["units"][0].update(geometry=geometry((1, 1, 9, 9), [[1, 1], [9, 1], [9, 8]]))), "$.units[0].geometry"),
+    (broken(lambda d: [d.update(page_mapping=mapped((1.0, 0.0, -5.0))), d["units"][0].update(geometry=geometry((5, 1, 9, 9)))]), "$.page_mapping.value.matrix"),
     (b"{", "$"),
     (b"\xff", "$"),
     (json.dumps(document()).replace('"schema_version": 1', '"schema_version": 1, "schema_version": 1').encode(), "$"),
