@@ -169,6 +169,66 @@ def difference(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
     return {"mae": float(d.mean()), "differing": float((d > 0).mean()), "rows": float(np.abs(a.mean(axis=1) - b.mean(axis=1)).mean() / 255), "columns": float(np.abs(a.mean(axis=0) - b.mean(axis=0)).mean() / 255)}
 
 
+def _thick(ink: np.ndarray) -> np.ndarray:
+    """The ink and its eight neighbours."""
+    wide = np.pad(ink, 1)
+    return np.any([wide[y : y + ink.shape[0], x : x + ink.shape[1]] for y in range(3) for x in range(3)], axis=0)
+
+
+def mask_error(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two inks of one shape: what either has beyond the other's neighbourhood, on average, and a quarter of how far their amounts differ; 1 if one is empty."""
+    n, m = int(a.sum()), int(b.sum())
+    if not n or not m:
+        return 1.0
+    missed = 1 - (a & _thick(b)).sum() / n + 1 - (b & _thick(a)).sum() / m
+    return float(missed / 2 + 0.25 * abs(n - m) / max(n, m))
+
+
+def slant(ink: np.ndarray, least: float = 0.008) -> tuple[int, float, bool] | None:
+    """(shift, gain, italic): the shift, from -4 to 4, at which rows some way apart overlap best, and what it gains over none; the first of
+    equal ones. None for less than 8 places either way."""
+    height, width = ink.shape
+    if min(height, width) < 8:
+        return None
+    apart = max(3, min(8, round(height * 0.14)))
+    upper, lower = ink[:-apart], ink[apart:]
+
+    def score(shift: int) -> float:
+        a, b = upper[:, max(0, -shift) : width - max(0, shift)], lower[:, max(0, shift) : width - max(0, -shift)]
+        either = int((a | b).sum())
+        return int((a & b).sum()) / either if either else 0.0
+
+    best = max(range(-4, 5), key=score)
+    gain = score(best) - score(0)
+    return best, gain, best != 0 and gain >= least
+
+
+def shape_error(a: np.ndarray, b: np.ndarray) -> float:
+    """Difference of two inks of one shape as a share of their mean amount, which counts as 1 at least."""
+    return float(np.abs(a - b).sum() / max(1.0, (a.sum() + b.sum()) / 2))
+
+
+def margin_anchors(ink: np.ndarray, words: int, gap: int, edge: float = 0.5) -> tuple[tuple[int, int, int, int], tuple[int, int, int, int]] | None:
+    """Boxes of a line's first and last word, by the first wide gap from the left and the last from the right, in the shares of the line at its edges.
+    One word has the whole ink twice; None without words, ink or such gaps."""
+    parts = runs(ink.any(axis=0)) if ink.size else []
+    if not words or not parts or gap < 1 or not 0 < edge <= 0.5:
+        return None
+
+    def box(first: int, last: int) -> tuple[int, int, int, int]:
+        x0, x1 = parts[first][0], parts[last][1]
+        rows = np.flatnonzero(ink[:, x0:x1].any(axis=1))
+        return x0, int(rows[0]), x1, int(rows[-1]) + 1
+
+    last = len(parts) - 1
+    if words == 1:
+        return box(0, last), box(0, last)
+    width = ink.shape[1]
+    gaps = [(n, a[1], z[0]) for n, (a, z) in enumerate(zip(parts, parts[1:], strict=False)) if z[0] - a[1] >= gap]
+    left, right = [g for g in gaps if g[1] <= width * edge], [g for g in gaps if g[2] >= width * (1 - edge) - 1]
+    return (box(0, left[0][0]), box(right[-1][0] + 1, last)) if left and right else None
+
+
 def stacked(samples: list[np.ndarray]) -> np.ndarray:
     """The median of samples of one shape, place by place."""
     return np.median(np.stack(samples), axis=0)
