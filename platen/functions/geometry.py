@@ -220,3 +220,17 @@ def centre(box: Column) -> Column:
 
 def mirrored(x: Column, width: Column) -> Column:
     return width - x
+
+
+def scaled_node(box: Column, polygon: Column, baseline: Column, scale: Column) -> Column:
+    """box, polygon and baseline in points; each null where it or the scale is unknown, a baseline also where it is not finite or negative."""
+    y = F.when(_finite(baseline) & (baseline >= 0), baseline * scale["y"])
+    return F.struct(scale_box(box, scale).alias("box"), F.when(scale.isNotNull(), scale_points(polygon, scale)).alias("polygon"), y.alias("baseline"))
+
+
+def project_claim(m: Column, claim: Column) -> Column:
+    """A claim (see claims) of a polyline through a homography: evidence and confidence stay, an unknown claim stays as it is. Null where a known
+    one has a point beyond reach: its denominator must lie clear of the horizon."""
+    points = F.transform(claim["value"], lambda p: project(m, p["x"], p["y"]))
+    moved = F.when(clear_of_horizon(m, claim["value"]) & F.forall(points, lambda p: p.isNotNull()), claim.withField("value", points))
+    return F.when(claim["status"] == "known", moved).otherwise(claim)

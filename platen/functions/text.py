@@ -138,14 +138,22 @@ def normalised(markup: Column) -> Column:
     return F.array_join(F.regexp_extract_all(folded(bare), F.lit(r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)?"), 0), " ")
 
 
+#: Letters that keep within the x-height, that rise over it, and that go below the line.
+LOW, HIGH, DEEP = frozenset("acemnorsuvwxz"), frozenset("bdfhklt"), frozenset("gjpqy")
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType()) for n in ("xheight", "ascender", "descender", "marks")]))
 def letter_features(text: pd.Series) -> pd.DataFrame:
-    """What the letters of a text reach: x-height, ascenders, descenders, marks."""
+    """What the letters of a text reach, case folded and without their marks: all within the x-height (no marks, no capitals, a letter at
+    least), any above it (a capital too), any below the line (a cedilla too), any marks."""
     rows = []
     for x in text:
-        bare = unicodedata.normalize("NFD", x or "")
-        letters = set(bare)
-        rows.append((bool(letters & set("acemnorsuvwxz")), bool(letters & set("bdfhklt")) or any(c.isupper() for c in bare), bool(letters & set("gjpqy")), any(unicodedata.combining(c) for c in bare)))
+        whole = x or ""
+        bare = unicodedata.normalize("NFD", whole)
+        letters = {c.casefold() for c in bare if c.isalpha()}
+        marks = {c for c in bare if unicodedata.combining(c)}
+        capital = any(c.isalpha() and c.isupper() for c in whole)
+        rows.append((bool(letters) and not marks and not capital and letters <= LOW, capital or bool(letters & HIGH), bool(letters & DEEP) or "\N{COMBINING CEDILLA}" in marks, bool(marks)))
     return pd.DataFrame(rows, columns=["xheight", "ascender", "descender", "marks"])
 
 

@@ -37,8 +37,8 @@ def runs(active: np.ndarray, merge: int = 0, least: int = 1) -> list[tuple[int,
     return [(a, z) for a, z in out if z - a >= least]
 
 
-def components(ink: np.ndarray, least: int = 1) -> list[tuple[int, int, int, int, int]]:
-    """(x0, y0, x1, y1, area) of 8-connected ink of at least that area, by top, then left."""
+def labels(ink: np.ndarray) -> np.ndarray:
+    """A number for each 8-connected piece of ink; 0 elsewhere."""
     label = np.where(ink, np.arange(1, ink.size + 1).reshape(ink.shape), 0)
     while True:
         wide = np.pad(label, 1)
@@ -48,8 +48,13 @@ def components(ink: np.ndarray, least: int = 1) -> list[tuple[int, int, int, int
                 np.maximum(best, wide[dy : dy + ink.shape[0], dx : dx + ink.shape[1]], out=best)
         best = np.where(ink, best, 0)
         if (best == label).all():
-            break
+            return label
         label = best
+
+
+def components(ink: np.ndarray, least: int = 1) -> list[tuple[int, int, int, int, int]]:
+    """(x0, y0, x1, y1, area) of 8-connected ink of at least that area, by top, then left."""
+    label = labels(ink)
     out = []
     for name in np.unique(label[label > 0]):
         ys, xs = np.nonzero(label == name)
@@ -234,6 +239,79 @@ def stacked(samples: list[np.ndarray]) -> np.ndarray:
     return np.median(np.stack(samples), axis=0)
 
 
+def after_widest_gap(grey: np.ndarray, dark: int = 200, least: int = 2) -> tuple[int, int] | None:
+    """(gap, start): the widest step between columns with that many dark places, and the column it ends at; the last of equal ones. None for
+    less than two such columns."""
+    at = np.flatnonzero((grey < dark).sum(axis=0) >= least)
+    if len(at) < 2:
+        return None
+    steps = np.diff(at)
+    k = len(steps) - 1 - int(steps[::-1].argmax())
+    return int(steps[k]), int(at[k + 1])
+
+
+def style_of(ink: np.ndarray, candidates: dict[str, np.ndarray], margin: float = 0.004) -> dict[str, object]:
+    """Weight by the candidate ink (same text, same shape) of the smallest mask error, slant by the ink itself; unknown without ink, without two
+    candidates, or where the best two are closer than margin."""
+    if not ink.any() or len(candidates) < 2:
+        return {"status": "unknown", "reason": "ink-absent" if not ink.any() else "missing-text-or-font"}
+    errors = {name: mask_error(ink, shown) for name, shown in candidates.items()}
+    best, second = sorted(errors, key=errors.__getitem__)[:2]
+    lead = errors[second] - errors[best]
+    if lead < margin:
+        return {"status": "unknown", "reason": "candidate-margin-insufficient", "best": best, "margin": lead}
+    found = slant(ink)
+    italic = found is not None and found[2]
+    name = best if not italic else "italic" if best == "regular" else f"{best}-italic"
+    return {"status": "observed", "style_class": name, "weight": best, "style": "italic" if italic else "normal", "margin": lead, "confidence": min(1.0, lead / 0.06)}
+
+
+def fitted(grey: np.ndarray, height: int, width: int, side: str = "unknown") -> np.ndarray:
+    """The page cut or padded with white to a size, without resampling: a right page keeps its left edge, a left page its right edge, any other its
+    middle; rows keep theirs."""
+
+    def places(own: int, wanted: int, keep: str) -> tuple[int, int, int]:
+        before = {"start": 0, "end": wanted - own}.get(keep, (wanted - own) // 2)
+        cut, paste = max(0, -before), max(0, before)
+        return cut, paste, min(own - cut, wanted - paste)
+
+    cut_y, at_y, rows = places(grey.shape[0], height, "middle")
+    cut_x, at_x, columns = places(grey.shape[1], width, {"right": "start", "left": "end"}.get(side, "middle"))
+    out = np.full((height, width), 255, grey.dtype)
+    out[at_y : at_y + rows, at_x : at_x + columns] = grey[cut_y : cut_y + rows, cut_x : cut_x + columns]
+    return out
+
+
+def page_pixels(width: int, height: int, width_mm: float, height_mm: float, wanted_mm: tuple[float, float], most: float = 0.02) -> tuple[int, int] | None:
+    """Width and height in pixels of a format at a page's own resolution; None where its axes differ by more than that share."""
+    across, down = width / (width_mm / 25.4), height / (height_mm / 25.4)
+    dpi = (across + down) / 2
+    if abs(across - down) / dpi > most:
+        return None
+    return round(wanted_mm[0] / 25.4 * dpi), round(wanted_mm[1] / 25.4 * dpi)
+
+
+def with_its_dot(grey: np.ndarray, char: str, dark: int = 225) -> np.ndarray:
+    """Of an i or j the largest piece and the dot above it; all else turns white. Any other character, and one without such a dot, stays."""
+    if char not in ("i", "j"):
+        return grey
+    label = labels(grey < dark)
+    pieces = []
+    for name in np.unique(label[label > 0]).tolist():
+        ys, xs = np.nonzero(label == name)
+        pieces.append((name, len(xs), int(xs.min()), int(xs.max()), int(ys.min()), int(ys.max()), float(xs.mean())))
+    if len(pieces) < 2:
+        return grey
+    pieces.sort(key=lambda p: int(np.flatnonzero(label.ravel() == p[0])[0]))
+    body = max(pieces, key=lambda p: (p[1], p[5]))
+    reach = max(2.0, (body[3] - body[2] + 1) * 0.75)
+    above = [p for p in pieces if p is not body and p[5] < body[4] and body[2] - reach <= p[6] <= body[3] + reach]
+    if not above:
+        return grey
+    dot = min(above, key=lambda p: (abs(p[6] - body[6]), -p[1]))
+    return np.where((label == body[0]) | (label == dot[0]), grey, 255).astype(grey.dtype)
+
+
 def over_rasters(rasters: DataFrame, key: str, run: Callable[[np.ndarray], list[dict]], schema: str) -> DataFrame:
     """run(grey) over rasters (key, width, height, pixels: a byte per place, row by row): its rows with the key. schema: of these without the key."""
 

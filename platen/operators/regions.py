@@ -126,3 +126,31 @@ def logical_glyphs(glyphs: DataFrame, group: list[str], order: str, font: str, y
     first, last = F.min("__at").over(run), F.max("__at").over(run)
     place = F.when(F.coalesce(turned, F.lit(False)), first + last - F.col("__at")).otherwise(F.col("__at")) - 1
     return rows.withColumn("place", place).drop("__at", "__new", "__run")
+
+
+def repaired_lines(lines: DataFrame, region: list[str], gap: str, start: str) -> DataFrame:
+    """lines with new_x0 and repaired: ink that lies alone to the left of a line goes, if its siblings' edge and a wide gap agree.
+
+    lines: x0, y0, x1, y1, and of the line's crop the widest gap and where its text begins after it (see raster.after_widest_gap),
+    null where there is no gap. Of regions with fewer than three lines none is repaired. A region's lines bound the median.
+    """
+    edges = lines.groupBy(*region).agg(F.bround(F.median("x0")).alias("__left"), F.count("x0").alias("__lines"))
+    height = F.greatest(F.lit(1), F.bround("y1") - F.bround("y0"))
+    least = F.bround(height * 1.25)
+    at = F.bround("x0") + F.col(start)
+    off = (F.col("__lines") >= 3) & (F.col("__left") - F.bround("x0") > F.greatest(F.lit(12), least))
+    repaired = F.coalesce(off & (F.col(gap) >= F.greatest(F.lit(10), least)) & (F.abs(at - F.col("__left")) <= height), F.lit(False))
+    found = lines.join(edges, region, "left")
+    return found.withColumn("repaired", repaired).withColumn("new_x0", F.when(F.col("repaired"), F.greatest(F.bround("x0"), at - 2)).otherwise(F.col("x0"))).drop("__left", "__lines")
+
+
+def recomputed_boxes(regions: DataFrame, lines: DataFrame, region: list[str]) -> DataFrame:
+    """regions with their lines' envelope as box, and changed. A region without lines keeps its own."""
+    names = ("x0", "y0", "x1", "y1")
+    made = lines.groupBy(*region).agg(F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).alias("__box"))
+    found = regions.join(made, region, "left")
+    differs = F.lit(False)
+    for n in names:
+        differs = differs | ~F.col(n).eqNullSafe(F.col("__box")[n])
+    found = found.withColumn("changed", F.col("__box").isNotNull() & differs)
+    return found.select(*[F.when(F.col("changed"), F.col("__box")[x]).otherwise(F.col(x)).alias(x) if x in names else F.col(x) for x in found.columns if x != "__box"])

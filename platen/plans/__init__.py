@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, check_queries, line_queries, measure_queries, page_queries, raster_queries, region_queries  # noqa: F401
+from . import catalogue, check_queries, compare_queries, line_queries, measure_queries, page_queries, raster_queries, region_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
