@@ -186,9 +186,9 @@ def test_bpe(spark, docs):
 
 def test_fold_in_spark_equals_the_arrays(spark):
     with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
-        own = bpe.ByteRanks(b"\n".join(file.read().splitlines()[:600]), P.PATTERN)
-    words = [" the", " thethethe", "aaaa", " ñandú", "x", "", None, "ingening"]
-    made = bpe.fold_in_spark(spark.createDataFrame([(w,) for w in words], "word string"), own.ids)
+        own = bpe.ByteRanks(file.read(), P.PATTERN)
+    words = [" the", " thethethe", "aaaa", " ñandú", "x", "", None, "ingening", "unrepresentativenesses", "😀‍👩", "qzxj" * 9, "の国", " Internationalisierungsmaßnahme"]
+    made = bpe.fold_in_spark(spark.createDataFrame([(w,) for w in words], "word string"), own)
     rows = {r.word: (r.ids, bytes(r.raw)) for r in made.withColumn("raw", bpe.decode_in_spark(F.col("ids"), own.tokens)).collect()}
     for w in words:
         ids = own.fold([w])[0].tolist() if w else []
