@@ -201,3 +201,58 @@ def test_search_report(spark):
     assert [t["index"] for t in made["trials"]] == [0, 1]
     assert made["trials"][0]["support"] == {"horizontal_scan_unit_ids": ["a"], "known_baseline_scan_unit_ids": []} and made["trials"][0]["score"]["horizontal_residuals_desc"] == [9, 2]
     assert made["trials"][1]["eligibility"] == {"status": "ineligible", "reason": "no-support"} and made["trials"][1]["score"] is None
+
+
+def test_text_lines():
+    page = np.full((200, 400), 255, np.uint8)
+    page[20:32, 20:200] = 0
+    page[34:36, 30:60] = 0
+    page[60:72, 20:100] = 0
+    page[60:72, 110:180] = 0
+    assert raster.text_lines(page, []) == [(20, 20, 200, 36), (20, 60, 180, 72)]
+    page[100:150, 300:390] = 0
+    page[110:122, 20:280] = 0
+    page[130:142, 20:280] = 0
+    assert raster.text_lines(page, [(300, 100, 390, 150)])[2:] == [(20, 110, 280, 122), (20, 130, 280, 142)]
+    assert raster.text_lines(np.full((50, 50), 255, np.uint8), []) == []
+    both = np.full((200, 400), 255, np.uint8)
+    both[20:32, 10:150] = 0
+    both[24:36, 250:390] = 0
+    assert raster.text_lines(both, []) == [(10, 20, 390, 36)]
+    assert raster.text_lines(both, [(200, 5, 210, 10)]) == [(10, 20, 150, 32), (250, 24, 390, 36)]
+
+
+def test_page_columns():
+    page = np.full((1000, 600), 255, np.uint8)
+    for y in range(300, 900, 24):
+        page[y : y + 12, 50:280] = 0
+        page[y : y + 12, 320:550] = 0
+    page[100:130, 100:500] = 0
+    made = raster.page_columns(page)
+    assert [c[0] for c in made["columns"]] == [50, 320] and [c[2] for c in made["columns"]] == [280, 550]
+    assert made["zones"] == [("heading", (100, 100, 500, 130))]
+    assert set(made["heights"]) == {12} and set(made["steps"]) == {24.0}
+    assert len(made["heights"]) == 50
+    one = np.full((1000, 600), 255, np.uint8)
+    one[300:900:20, 50:550] = 0
+    assert raster.page_columns(one)["columns"] == [(50, 40, 550, 940)]
+    assert raster.page_columns(np.full((100, 60), 255, np.uint8))["columns"] == []
+
+
+def test_stamps():
+    glyph = np.full((10, 8), 255, np.uint8)
+    glyph[2:8, 2:5] = 0
+    line = raster.stamped((20, 40), [(glyph, 5.0), (glyph, 20.0), (glyph, 38.0)], 12, 10, 10, (2, 8))
+    assert (line == 0).sum() == 6 * (3 + 3 + 2) and line[6, 5] == 0 and line[5, 5] == 255
+    assert raster.zoomed(glyph, 1.005) is glyph
+    assert raster.zoomed(np.array([[0, 100]], np.uint8), 3.0)[0].tolist() == [0, 20, 40, 60, 80, 100]
+    canvas, weight = raster.occurrence(line, "l", 20.0, 25.0, 12.0, 10.0, 10.0, (12, 12), (4, 9))
+    assert (canvas == 0).sum() == 18 and canvas[3, 4] == 0
+    assert weight[:, 4:10].min() == 1 and 0 < weight[5, 1] < weight[5, 3] < 1
+    assert raster.occurrence(line, "i", 20.0, 25.0, 12.0, 10.0, 10.0, (12, 12), (4, 9))[1].max() == 1
+    empty = raster.occurrence(line, "l", 90.0, 95.0, 12.0, 10.0, 10.0, (12, 12), (4, 9))
+    assert (empty[0] == 255).all() and not empty[1].any()
+    full = np.ones((10, 8))
+    assert raster.atlas_glyph([(glyph, full), (np.full_like(glyph, 255), full), (np.full_like(glyph, 255), full)]).min() == 255
+    faint = raster.atlas_glyph([(glyph, full), (glyph, full), (np.full_like(glyph, 255), full), (np.full_like(glyph, 255), full)])
+    assert faint.min() == 95
