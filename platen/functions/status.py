@@ -68,3 +68,14 @@ def consensus(present: Column, supporters: Column, has_geometry: Column) -> Colu
 
 def line_status(candidates: Column) -> Column:
     return F.when(candidates == 1, PRESERVED).when(candidates > 1, VIOLATED).otherwise(UNKNOWN)
+
+
+def ineligible(total: Column, content_status: Column, matched: Column, candidates: Column, matched_candidates: Column, lost: Column, key: Column) -> Column:
+    """Why a trial can't be chosen; null if it can. lost: unmatched units of both sides; key: its residuals, null without horizontal evidence."""
+    return first_reason(
+        (total == 0, "empty-scan-scope"),
+        (content_status != PRESERVED, "content-not-preserved"),
+        ((matched != total) | (matched_candidates != candidates), "partial-coverage"),
+        (lost > 0, "unmatched-units"),
+        (key.isNull(), "missing-horizontal-evidence"),
+    )

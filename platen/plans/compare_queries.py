@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platen.functions import claims, geometry, rules
+from platen.functions import claims, geometry, rules, status
 from platen.operators import compare, regions, scope
-from platen.sources import reports
+from platen.sources import content, reports, sinks
 
 from .catalogue import query, table
 
@@ -208,3 +208,28 @@ def projected_claims(spark, sf_dir):
 def validation_report(spark, sf_dir):
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey AS page_index", "p_name AS raster_sha256", "p_type AS media_type", "p_size AS width_px", "7 AS height_px", "1 AS units", "2 AS provenance_records", "3 AS diagnostics")
     return rows.select("p_partkey", reports.validation("s").alias("json"))
+
+
+@query(
+    """SELECT l_orderkey, CASE WHEN t = 0 THEN 'empty-scan-scope' WHEN a > 0 THEN 'content-not-preserved' WHEN m <> t THEN 'partial-coverage' WHEN f > 0 THEN 'unmatched-units' WHEN k IS NULL THEN 'missing-horizontal-evidence' END AS reason
+FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_tax > 0.01) AS t, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_tax > 0.01 AND l_discount > 0) AS m, count(*) FILTER (WHERE l_linestatus = 'F') AS f, max(CASE WHEN l_quantity > 20 THEN l_quantity END) AS k FROM lineitem GROUP BY l_orderkey)"""
+)
+def trial_ineligible(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.expr("count_if(l_tax > 0.01)").alias("t"),
+        F.expr("count_if(l_returnflag = 'A')").alias("a"),
+        F.expr("count_if(l_tax > 0.01 AND l_discount > 0)").alias("m"),
+        F.expr("count_if(l_linestatus = 'F')").alias("f"),
+        F.max(F.when(F.col("l_quantity") > 20, F.col("l_quantity"))).alias("k"),
+    )
+    kept = F.when(F.col("a") > 0, status.UNKNOWN).otherwise(status.PRESERVED)
+    return rows.select("l_orderkey", status.ineligible(F.col("t"), kept, F.col("m"), F.lit(1), F.lit(1), F.col("f"), F.col("k")).alias("reason"))
+
+
+@query("SELECT l_orderkey, l_partkey AS glyph_index, l_suppkey AS code, l_quantity AS x, l_returnflag AS font FROM lineitem WHERE l_linenumber < 3")
+def catalogue_round_trip(spark, sf_dir):
+    """Glyphs written to catalogues, a JSON text a page, and read again."""
+    glyphs = table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select("l_orderkey", F.col("l_partkey").alias("glyph_index"), F.col("l_suppkey").alias("code"), F.col("l_quantity").alias("x"), F.lit(0.5).alias("y"), F.lit(1.5).alias("advance"), F.col("l_returnflag").alias("font"), F.lit(10.0).alias("size"))
+    fonts = spark.createDataFrame([("A", "Alpha"), ("N", None)], "font string, base_font string")
+    made = sinks.glyph_catalogue(glyphs, fonts, "l_orderkey")
+    return content.catalogue_glyphs(made, "l_orderkey", "json").select("l_orderkey", "glyph_index", "code", "x", "font")

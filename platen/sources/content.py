@@ -251,3 +251,13 @@ def glyphs(operations: DataFrame, page: str, widths: DataFrame, fonts: DataFrame
     kind = operations.schema[page].dataType.simpleString()
     schema = f"`{page}` {kind}, glyph_index long, code long, x double, y double, advance double, font string, size double, mode long, diagnostic string"
     return dealt(operations.select(page, "op_index", "op", "numbers", "name", "items"), page).groupBy(page).applyInPandas(fold, schema)
+
+
+#: What a glyph catalogue holds of a glyph.
+GLYPH = "glyph_index long, code long, x double, y double, advance double, font string, base_font string, size double"
+
+
+def catalogue_glyphs(catalogues: DataFrame, page: str, text: str) -> DataFrame:
+    """page and the fields of each glyph of a catalogue's JSON (see sinks.glyph_catalogue); a text that isn't one is an error, an empty catalogue has no rows."""
+    read = F.from_json(text, f"glyphs array<struct<{GLYPH.replace(' ', ':').replace(',:', ',')}>>", {"mode": "FAILFAST"})
+    return catalogues.select(page, F.explode(read["glyphs"]).alias("g")).select(page, "g.*")
