@@ -231,19 +231,41 @@ class Toxic:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
-    """Newton's method; weights are kept from falling below zero, for evidence never speaks against."""
+    """The least penalised loss, by projected Newton steps, each halved until the loss falls: whole steps run away where
+    evidence divides the labels. Weights are kept from falling below zero, for evidence never speaks against."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = math.log(share / (1 - share))
     if not len(y) or y.min() == y.max():
         return w[:-1], float(w[-1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (y - p) - ridge * np.append(w[:-1], 0)
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([ridge] * x.shape[1] + [1e-6])
-        w = w + np.linalg.solve(h, g)
-        w[:-1] = np.maximum(w[:-1], 0)
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + ridge / 2 * (w[:-1] @ w[:-1]))
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+        g = a.T @ (p - y) + ridge * np.append(w[:-1], 0)
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([ridge] * x.shape[1] + [1e-9])
+        held = np.append((w[:-1] <= 1e-3) & (g[:-1] > 0), False)  # those that would fall below zero go by themselves
+        step = g / np.diag(h)
+        step[~held] = np.linalg.solve(h[np.ix_(~held, ~held)], g[~held])
+        size = 1.0
+        while size > 1e-9:
+            near = w - size * step
+            near[:-1] = np.maximum(near[:-1], 0)
+            then = loss(near)
+            if then <= now - 1e-4 * (size * g[~held] @ step[~held] + g[held] @ (w - near)[held]):
+                break
+            size /= 2
+        else:
+            break
+        done = now - then <= 1e-12 * now
+        w, now = near, then
+        if done:
+            break
     return w[:-1], float(w[-1])
 
 

@@ -309,6 +309,20 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize(("clean", "odd", "toxic", "strong", "weak"), [(1000, 3, 30, 5.1, 3.6), (300, 1400, 30, 4.5, 2.0), (1000, 1400, 150, 4.5, 4.0), (11000, 1400, 1500, 5.6, 3.6)])
+def test_toxicity_weights_where_evidence_divides_labels(clean, odd, toxic, strong, weak):
+    """Whole Newton steps ran away on the first three of these, to a base under -30,000, and every text scored 0."""
+    row = lambda first, second, n: [first, second, max(first - 3, 0), max(second - 3, 0), math.log1p(n)]
+    x = np.array([row(0, 0, 0)] * clean + [row(weak, 0, 1)] * odd + [row(strong, strong, 2)] * toxic)
+    y = np.repeat([0.0, 1.0], [clean + odd, toxic])
+    weights, base = toxicity.logistic(x, y)
+    p = 1 / (1 + np.exp(-(x @ weights + base)))
+    assert p[y == 1].min() > 0.7 and p[y == 0].max() < 0.3 and (weights >= 0).all()
+    # The least loss: no slope but at weights of zero, where it may rise.
+    slope = x.T @ (p - y) + 0.1 * weights
+    assert abs((p - y).sum()) < 1e-3 and (abs(slope[weights > 0]) < 1e-3).all() and (slope[weights == 0] > -1e-3).all()
+
+
 def test_simhash(spark, docs):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
