@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import components, mapped, spanning, stored
+from .common import components, mapped, sifted, spanning, stored
 
 BITS = 3
 CHUNK = 512
@@ -197,8 +197,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     stars = stored(stars.union(same).union(near).distinct(), "stars")
 
     used = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(postings.select("node")).distinct()
-    used = nodes.join(used, "node", "left_semi").select("node", F.col("least").alias("key"))
-    sets = mapped(rows.join(used, "key").select("node", "text"), lambda it: shingles.sets_of(it, width), "node string, own array<long>")
+    used = stored(nodes.join(used, "node", "left_semi").select("node", F.col("least").alias("key")), "used")
+    sets = mapped(sifted(rows, used, "key")[0].join(used, "key").select("node", "text"), lambda it: shingles.sets_of(it, width), "node string, own array<long>")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
     pairs = stars.join(sets.withColumnRenamed("node", "b").withColumnRenamed("own", "y"), "b")
     pairs = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("own", "x"), "a")
@@ -229,8 +229,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similar:
 
     Components are those of near_duplicates(), or with similar those of near_copies() at that similarity."""
     marked = near_duplicates(docs, key, text) if similar is None else near_copies(docs, key, text, similar)
-    kept = stored(marked.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows")), "kept")
-    out = docs.join(kept.select(key), key, "left_semi").select(*docs.columns)
+    marked = marked.where(F.col(key).isNotNull())
+    kept = stored(marked.groupBy(key).agg(F.count_if(F.col(key) == F.col("component_id")).alias("rows")), "kept")
+    gone = kept.where("rows = 0").select(key)
+    may, stay = sifted(docs.where(F.col(key).isNotNull()), gone, key)
+    out = stay.unionByName(may.join(gone, key, "left_anti").select(*docs.columns))
     if not kept.where("rows > 1").isEmpty():
         out = out.dropDuplicates([key])
     return out.unionByName(docs.where(F.col(key).isNull()))

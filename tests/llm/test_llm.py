@@ -13,8 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from platen.llm import boosting, bpe, hmm, lines, packing, quality, quantise, queries, simhash, toxicity, voronoi, warc
-from platen.llm.common import components, spanning
+from platen.llm import boosting, bpe, common, hmm, lines, packing, quality, quantise, queries, simhash, toxicity, voronoi, warc
+from platen.llm.common import components, sifted, spanning
 
 P = pytest.importorskip("public_tokenizers")
 LONG = "".join(random.Random(3).choice("ab c\nd") for _ in range(60_000))
@@ -33,6 +33,22 @@ def docs(spark):
     return rows.union(rows.where("doc_id = 3")).union(rows.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_sifted(spark, monkeypatch, bits):
+    """The rest has none of the keys, rows and columns stay as they are, whatever is null, repeated or named like what is used inside."""
+    monkeypatch.setattr(common, "SIFTED", bits)
+    rows = [(k, n, None, n % 3) for n, k in enumerate([*range(-20, 300), 5, 5, None, None])]
+    rows = spark.createDataFrame(rows, "doc_id long, word long, bits string, own int")
+    for wanted in ([5, 7, -3, 900, None], [], list(range(-20, 300))):
+        keys = spark.createDataFrame([(k,) for k in wanted], "doc_id long")
+        may, rest = sifted(rows, keys, "doc_id")
+        assert may.dtypes == rest.dtypes == rows.dtypes
+        assert sorted(map(str, [*may.collect(), *rest.collect()])) == sorted(map(str, rows.collect()))
+        assert not {r.doc_id for r in rest.collect()} & {k for k in wanted if k is not None}
+        if bits > 64:
+            assert {r.doc_id for r in may.collect()} - {None} == set(wanted) & {*range(-20, 300)}
+
+
 def test_spanning_and_components(spark):
     assert spanning(6, np.array([0, 4, 2]), np.array([2, 5, 1])).tolist() == [0, 0, 0, 3, 4, 4]
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]

@@ -120,3 +120,27 @@ def test_stages_on_odd_rows(spark, tmp_path):
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
         assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
         assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_near_duplicates_move_few_texts(spark):
+    """Texts that are like no other stay where they are: only those that may go, and those that are compared, are moved."""
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 10**6, 5000)) for _ in range(80)]
+    docs = stored(spark.createDataFrame([*enumerate(texts), (200, texts[7]), (3, texts[3])], "doc_id long, text string"), "unlike")
+
+    def moved():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    old, before = spark.conf.get(name), moved()
+    spark.conf.set(name, "-1")
+    try:
+        made = corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id <> 3"), SF)
+        assert kept(made) == {k: t for k, t in enumerate(texts) if k != 3}
+        assert moved() - before < 0.3 * sum(map(len, texts))
+    finally:
+        spark.conf.set(name, old)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == list(range(80))
