@@ -24,6 +24,8 @@ from .common import blocks, mapped
 CAPACITY = 4096
 PIECE = 1024
 GROUP = 128
+#: Bytes of text that are encoded at a time.
+BLOCK = 3 << 20
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -117,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: s
             kinds = [keys, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=columns)
 
-        for block in blocks(batches, 1):
+        for block in blocks(batches, 1, BLOCK):
             keys = block.column(0).type
             ids, sizes = own.texts(block.column(1))
             ids = ids.astype("<u4")

@@ -33,6 +33,16 @@ def docs(spark):
     return rows.union(rows.where("doc_id = 3")).union(rows.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
 
 
+def test_packing_in_blocks(spark, docs, monkeypatch):
+    """Texts are encoded in blocks of packing.BLOCK bytes; the pieces don't depend on it."""
+    rows = docs.coalesce(1).sortWithinPartitions("doc_id")
+    made = []
+    for size in (1, packing.BLOCK):
+        monkeypatch.setattr(packing, "BLOCK", size)
+        made.append([tuple(r) for r in packing.pack(rows, P.path("word_bpe_49k.json"), end=2).collect()])
+    assert made[0] == made[1] and len(made[0]) >= docs.count()
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 24])
 def test_sifted(spark, monkeypatch, bits):
     """The rest has none of the keys, rows and columns stay as they are, whatever is null, repeated or named like what is used inside."""
