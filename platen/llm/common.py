@@ -61,7 +61,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str, *, by: str | None = None, outer: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, *, outer: bool = False) -> DataFrame:
     """df written to the shared folder and read again: what is lost with an executor is not computed anew.
 
     With outer the table belongs to the scratch() around the innermost one."""
@@ -69,13 +69,22 @@ def stored(df: DataFrame, name: str, *, by: str | None = None, outer: bool = Fal
     path = shared_path(spark, name)
     if len(_open) > outer:
         _open[-1 - outer].append(path)
-    writer = df.write.option("compression", "zstd")
-    if by:
-        writer = writer.partitionBy(by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Python workers of what runs inside get their rows in batches of about size bytes; Spark's own bound is 10,000 rows or 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)

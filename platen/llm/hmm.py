@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mapped, stored
+from .common import Words, batches_of, blocks, mapped, stored
 
 STATES, ITERATIONS, CLASSES = 8, 4, 2048
-BLOCK = 6 << 20
+BLOCK = 3 << 20
+#: Blocks that a training step takes at once: a step for each position of the longest text costs as much for few texts.
+TOGETHER = 2
 #: Blocks whose words are added up in one group.
-SPAN = 64
+SPAN = 128
 #: Words of at most so many bytes have classes by themselves; of longer ones the last bytes count.
 SHORT, ENDING = 5, 3
 
@@ -113,12 +115,24 @@ def expected(model: Model, classes: np.ndarray, layout: Layout) -> tuple[np.ndar
     return start.astype(float), moves * model.step, counts, float(logs.sum())
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """int32 numbers, all lowest bytes first, compressed: a block's are the longest values that Spark moves."""
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 def _read(docs: DataFrame, key: str, text: str, train: Column, buckets: int) -> DataFrame:
-    """kind 0: a block, its keys, whether they train, sizes with the end, word numbers, words' classes. kind 1: for
-    each bucket the block's words of that hash, in their order, their classes and counts in training texts."""
+    """kind 0: a block, its keys, whether they train, sizes, packed word numbers, words' classes. kind 1: for
+    each bucket the block's words of that hash, in their order, their classes and counts in training texts.
+
+    Both kinds go to one file of a task, in columns of their own, so that either is read without the other and neither is sorted."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["kind", "block", "bucket", "keys", "train", "sizes", "data", "classes", "counts"]
-    schema = f"kind int, block long, bucket int, keys array<{kind}>, train array<boolean>, sizes array<int>, data binary, classes binary, counts binary"
+    names = ["kind", "block", "bucket", "keys", "train", "sizes", "word", "of", "data", "classes", "counts"]
+    schema = f"kind int, block long, bucket int, keys array<{kind}>, train array<boolean>, sizes array<int>, word binary, of binary, data binary, classes binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -134,12 +148,12 @@ def _read(docs: DataFrame, key: str, text: str, train: Column, buckets: int) ->
             # Words are numbered by bucket, so that counts come back as runs.
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words), dtype=np.int32)
-            made = [(0, number, -1, rows.column(0).to_pylist(), trains.tolist(), seen.sizes.tolist(), place[seen.word].tobytes(), classes[order].tobytes(), None)]
+            made = [(0, number, -1, rows.column(0).to_pylist(), trains.tolist(), seen.sizes.tolist(), _packed(place[seen.word]), classes[order].tobytes(), None, None, None)]
             for b in range(buckets):
                 part = order[bounds[b] : bounds[b + 1]]
                 if len(part):
-                    made.append((1, number, b, None, None, None, b" ".join([words[k] for k in part.tolist()]), classes[part].tobytes(), counts[part].tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(rows.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 3]
+                    made.append((1, number, b, None, None, None, None, None, b" ".join([words[k] for k in part.tolist()]), classes[part].tobytes(), counts[part].tobytes()))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(rows.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 5]
             for some in (made[:1], made[1:]):
                 if some:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
@@ -207,23 +221,28 @@ def _count(words: DataFrame, spans: int) -> tuple[DataFrame, DataFrame]:
     return back, totals.where("span IS NULL").select("class", "tokens", "words")
 
 
-def _classes(row: dict, chosen: np.ndarray | None = None) -> tuple[np.ndarray, Layout, np.ndarray]:
-    """Of a kind 0 row: tokens' classes by time, their layout, and word numbers in the texts' order; of chosen texts only."""
+def _tokens(row: dict, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a kind 0 row: words' classes and numbers in the texts' order, and the texts' sizes; of chosen texts only."""
     sizes = np.array(row["sizes"], np.int64)
-    word = np.frombuffer(row["data"], np.int32)
-    of = np.frombuffer(row["classes"], np.uint16)
+    word = _unpacked(row["word"], int(sizes.sum()))
+    of = np.frombuffer(row["of"], np.uint16)
     if chosen is not None:
         word = word[np.repeat(chosen, sizes)]
         sizes = sizes[chosen]
+    return of[word], word, sizes
+
+
+def _laid(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, Layout]:
+    """Classes of tokens, the texts' ends among them, by time, and their layout."""
     ends = np.cumsum(sizes + 1) - 1
     flat = np.full(int(sizes.sum()) + len(sizes), CLASSES, np.int64)
     inner = np.ones(len(flat), bool)
     inner[ends] = False
-    flat[inner] = of[word]
+    flat[inner] = words
     layout = Layout(sizes + 1)
     out = np.empty_like(flat)
     out[layout.place] = flat
-    return out, layout, word
+    return out, layout
 
 
 def baum_welch(texts: DataFrame, shares: np.ndarray, states: int, iterations: int) -> Model:
@@ -236,16 +255,15 @@ def baum_welch(texts: DataFrame, shares: np.ndarray, states: int, iterations: in
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(states + states * states + (CLASSES + 1) * states)
             for batch in batches:
-                for row in batch.to_pylist():
-                    chosen = np.array(row["train"], bool)
-                    if chosen.any():
-                        classes, layout, _ = _classes(row, chosen)
-                        start, moves, counts, _ = expected(shared.value, classes, layout)
-                        total += np.concatenate([start, moves.ravel(), counts.ravel()])
+                made = [row for row in batch.to_pylist() if any(row["train"])]
+                for at in range(0, len(made), TOGETHER):
+                    words, _, sizes = map(np.concatenate, zip(*(_tokens(row, np.array(row["train"], bool)) for row in made[at : at + TOGETHER]), strict=True))
+                    start, moves, counts, _ = expected(shared.value, *_laid(words, sizes))
+                    total += np.concatenate([start, moves.ravel(), counts.ravel()])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-        rows = mapped(texts.select("train", "sizes", "data", "classes"), run, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
+        rows = mapped(texts.select("train", "sizes", "word", "of"), run, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
         total = np.zeros(states + states * states + (CLASSES + 1) * states)
         for r in rows:
             total[r.i] = r.n
@@ -266,8 +284,9 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    read = stored(_read(docs, key, text, train, int(spark.conf.get("spark.sql.shuffle.partitions"))), "words", by="kind")
-    texts = read.where("kind = 0")
+    with batches_of(spark, BLOCK):
+        read = stored(_read(docs, key, text, train, int(spark.conf.get("spark.sql.shuffle.partitions"))), "words")
+    texts = read.where("kind = 0").select("kind", "block", "keys", "train", "sizes", "word", "of")
     counted, sums = _count(read.where("kind = 1"), -(-texts.count() // SPAN) or 1)
     sums = sums.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()  # a row per class
     tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -286,10 +305,10 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         made = rows.to_pylist()
         row = next(r for r in made if r["kind"] == 0)
         counts = np.frombuffer(b"".join(r["counts"] for r in sorted((r for r in made if r["kind"] == 1), key=lambda r: r["bucket"])), np.int64)
-        classes, layout, word = _classes(row)
-        sizes = np.array(row["sizes"], np.int64)
+        words, word, sizes = _tokens(row)
+        classes, layout = _laid(words, sizes)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        of = np.frombuffer(row["classes"], np.uint16)
+        of = np.frombuffer(row["of"], np.uint16)
         logs = np.log10(counts + 0.5)
         top = np.bincount(doc, logs[word], len(sizes))
         within = np.bincount(doc, (logs - inside[of])[word], len(sizes))
@@ -306,8 +325,6 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             "score": pa.array(likely + within),
         })
 
-    columns = ["kind", "block", "bucket", "keys", "train", "sizes", "data", "classes", "counts"]
-    back = counted.withColumn("kind", F.lit(1))
-    both = texts.select(*columns).unionByName(back, allowMissingColumns=True)
+    both = texts.unionByName(counted.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     schema = f"`{key}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.groupBy("block").applyInArrow(run, schema)

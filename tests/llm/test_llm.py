@@ -86,6 +86,56 @@ def test_hmm_base_and_probability(spark, docs, monkeypatch, blocks):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in hmm.scores(docs, F.lit(False)).collect())
 
 
+def test_hmm_reads_and_writes_in_small_pieces(spark, monkeypatch):
+    """A task writes one file and sorts no block, gets its rows in batches of about a block, and packs the block's word numbers."""
+    kept = {}
+
+    def spied(df, name, **how):
+        kept[name] = (spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), how, common.stored(df, name, **how))
+        return kept[name][-1]
+
+    monkeypatch.setattr(hmm, "stored", spied)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(400)) for _ in range(40)]
+    assert hmm.scores(frame(spark, texts).repartition(3), F.lit(True), states=2, iterations=1).count() == 40
+    size, how, read = kept["words"]
+    assert size.rstrip("b") == str(hmm.BLOCK) and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert not how and len(read.inputFiles()) == 3
+    found = Counter()
+    for r in read.where("kind = 0").collect():
+        word = hmm._unpacked(bytes(r.word), sum(r.sizes))
+        assert len(r.word) < 2 * len(word)
+        found.update(np.bincount(word).tolist())
+    assert sum(n * k for n, k in found.items()) == 40 * 400
+
+
+def test_batches_of(spark):
+    rows = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    counted = lambda: [r.n for r in rows.mapInArrow(run, "n long").collect()]
+    assert counted() == [3000]
+    with pytest.raises(KeyError), common.batches_of(spark, 100_000):
+        some = counted()
+        raise KeyError
+    assert sum(some) == 3000 and max(some) < 200
+    assert counted() == [3000]
+
+
+def test_hmm_training_does_not_depend_on_blocks_at_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK", 1)
+    made = []
+    for n in (1, 2, 50):
+        monkeypatch.setattr(hmm, "TOGETHER", n)
+        made.append(sorted(r.score for r in hmm.scores(docs.coalesce(1), F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False)), states=3, iterations=2).collect()))
+    for scores in made[1:]:
+        assert all(math.isclose(a, b, rel_tol=1e-4) for a, b in zip(scores, made[0], strict=True))
+
+
 def test_forward_is_the_sum_over_paths():
     rng = np.random.default_rng(1)
     unit = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
