@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import accumulate
+from math import nan
 from operator import sub
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,20 +18,28 @@ from .grouping import dealt
 def anchor_clusters(rows: DataFrame, group: list[str], y: str, x: str, size: str, index: str) -> DataFrame:
     """rows with cluster: a new one begins where y lies more than half the row's size from the cluster's first row.
 
-    Rows stay in the order (y, x, index) inside a cluster. The anchor needs a fold over a group, which is one page.
+    Rows are taken in the order (y, x, index), unknown values last. The anchor needs a fold, which goes through a partition's sorted
+    rows in Arrow batches and holds one of them, not a group.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([y, x, index], kind="stable")
-        cluster, anchor, out = -1, None, []
-        for at, extent in zip(pdf[y], pdf[size], strict=True):
-            if anchor is None or abs(at - anchor) > 0.5 * extent:
-                cluster, anchor = cluster + 1, at
-            out.append(cluster)
-        return pdf.assign(cluster=out)
-
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, anchor = -1, nan
+        for batch in batches:
+            out = []
+            for first, at, reach in zip(*[c.to_pylist() for c in batch.columns[-3:]], strict=True):
+                if first:
+                    cluster, anchor = 0, at
+                elif abs(at - anchor) > reach:
+                    cluster, anchor = cluster + 1, at
+                out.append(cluster)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.int64())], names=[*batch.schema.names[:-3], "cluster"])
+
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(nan))
+    keys = [number(c) if dict(rows.dtypes)[c] in ("float", "double") else F.col(c).asc_nulls_last() for c in (y, x, index)]
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(*keys)) == 1
+    marked = dealt(rows, *group).select("*", first.alias("__first"), number(y).alias("__at"), (0.5 * number(size)).alias("__reach"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return dealt(rows, *group).groupBy(*group).applyInPandas(fold, f"{schema}, cluster long")
+    return marked.mapInArrow(fold, f"{schema}, cluster long")
 
 
 def chain_clusters(rows: DataFrame, group: list[str], order: list[str], value: Column, gap: Column) -> DataFrame:

@@ -295,3 +295,29 @@ def test_nearest_step_is_that_of_all_pairs(spark, step):
     wanted = match.best_or_tied(pairs, "l", "r", "score", 5).select("l", "r", (10 - F.col("best")).alias("level"), "ties")
     key = lambda r: r[0]
     assert sorted(map(tuple, made.collect()), key=key) == sorted(map(tuple, wanted.collect()), key=key)
+
+
+def test_anchor_clusters_over_batches(spark):
+    import random
+
+    draw = random.Random(6)
+    data = [(g, n, float(draw.randrange(8 * g)), float(draw.randrange(3)), draw.choice([2.0, 4.0, None])) for g in range(1, 9) for n in range(7 * g)]
+    data += [(None, 0, 1.0, 1.0, 2.0), (50, 0, None, 1.0, 2.0), (50, 1, 9.0, 1.0, 2.0), (50, 2, 1.0, None, 2.0), (51, 0, None, 1.0, 2.0)]
+    df = spark.createDataFrame(data, "g int, i int, y double, x double, size double")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        made = cluster.anchor_clusters(df, ["g"], "y", "x", "size", "i")
+        assert "InPandas" not in made._jdf.queryExecution().toString()  # a function call for each group costs more than its fold
+        found = {(r.g, r.i): r.cluster for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    wanted = {(None, 0): 0, (50, 2): 0, (50, 1): 1, (50, 0): 1, (51, 0): 0}
+    for g in range(1, 9):
+        number, anchor = 0, None
+        for _, i, y, _, size in sorted((r for r in data if r[0] == g), key=lambda r: (r[2], r[3], r[1])):
+            if anchor is not None and size is not None and abs(y - anchor) > 0.5 * size:
+                number, anchor = number + 1, None
+            anchor = y if anchor is None else anchor
+            wanted[g, i] = number
+    assert found == wanted
