@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,26 +87,43 @@ def geometry_independent(child_value: Column, parent_value: Column, child_eviden
 
 def grouped_regions(lines: DataFrame, page: str, share: float = 0.2, gap: float = 24.0) -> DataFrame:
     """lines (page, line, x0, y0, x1, y1) with region: from the top each joins the region whose last line it overlaps most, by share of the
-    narrower one, within that gap below; of equal ones that with the smaller gap. A page is folded by one task."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "line"])
-        last: list[tuple] = []
-        out = []
-        for r in pdf.itertuples(index=False):
-            best = None
-            for n, (x0, x1, y1) in enumerate(last):
-                common = (min(x1, r.x1) - max(x0, r.x0)) / max(1e-9, min(x1 - x0, r.x1 - r.x0))
-                below = r.y0 - y1
-                if common >= share and below <= gap and (best is None or (common, -below) > best[0]):
-                    best = ((common, -below), n)
-            if best is None:
-                last.append((r.x0, r.x1, r.y1))
-                out.append(len(last) - 1)
-            else:
-                last[best[1]] = (r.x0, r.x1, r.y1)
-                out.append(best[1])
-        return pdf.assign(region=out)
+    narrower one, within that gap below; of equal ones that with the smaller gap, then the older one.
 
+    The fold goes through a partition's sorted rows in Arrow batches and holds the last lines of one page's regions that reach within the
+    gap of the line at hand; others no later line can join.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple[int, float, float, float]] = []
+        number = 0
+        for batch in batches:
+            out = []
+            for first, left, top, right, bottom in zip(*[c.to_pylist() for c in batch.columns[-5:]], strict=True):
+                if first:
+                    last, number = [], 0
+                best, found = None, -1
+                near = []
+                for region in last:
+                    n, x0, x1, y1 = region
+                    below = top - y1
+                    if below > gap:
+                        continue
+                    near.append(region)
+                    common = (min(x1, right) - max(x0, left)) / max(1e-9, min(x1 - x0, right - left))
+                    if common >= share and below <= gap and (best is None or (common, -below) > best):
+                        best, found = (common, -below), n
+                if best is None:
+                    found, number = number, number + 1
+                    near.append((found, left, right, bottom))
+                    last = near
+                else:
+                    last = [(n, left, right, bottom) if n == found else (n, x0, x1, y1) for n, x0, x1, y1 in near]
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-5], pa.array(out, pa.int64())], names=[*batch.schema.names[:-5], "region"])
+
+    # Unknown places come last.
+    places = {c: F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in ("x0", "y0", "x1", "y1")}
+    first = F.row_number().over(Window.partitionBy(page).orderBy(places["y0"], places["x0"], F.col("line").asc_nulls_last())) == 1
+    marked = dealt(lines, page).select("*", first.alias("__first"), *[v.alias(f"__{c}") for c, v in places.items()])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    return dealt(lines, page).groupBy(page).applyInPandas(fold, f"{schema}, region long")
+    return marked.mapInArrow(fold, f"{schema}, region long")

@@ -321,3 +321,31 @@ def test_anchor_clusters_over_batches(spark):
             anchor = y if anchor is None else anchor
             wanted[g, i] = number
     assert found == wanted
+
+
+def plain_regions(lines, share=0.2, gap=24.0):
+    last, out = [], {}
+    for line, x0, y0, x1, y1 in lines:
+        common = lambda r: (min(r[1], x1) - max(r[0], x0)) / max(1e-9, min(r[1] - r[0], x1 - x0))  # noqa: B023, E731
+        fit = [((common(r), r[2] - y0), -n) for n, r in enumerate(last) if common(r) >= share and y0 - r[2] <= gap]
+        at = -max(fit)[1] if fit else len(last)
+        last[at : at + 1] = [(x0, x1, y1)]
+        out[line] = at
+    return out
+
+
+def test_regions_over_batches(spark):
+    import random
+
+    draw = random.Random(5)
+    pages_ = {p: sorted([(n, float(x := draw.randrange(40)), float(draw.randrange(30 * p + 1)), float(x + draw.randrange(30)), float(draw.randrange(30 * p + 20))) for n in range(9 * p)], key=lambda r: (r[2], r[1], r[0])) for p in range(1, 9)}
+    df = spark.createDataFrame([(p, *r) for p, lines in pages_.items() for r in lines] + [(None, 0, 0.0, 0.0, 1.0, 1.0), (99, 0, 0.0, 0.0, 9.0, 1.0), (99, 1, 0.0, None, 9.0, 1.0)], "page int, line int, x0 double, y0 double, x1 double, y1 double")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        made = pages.grouped_regions(df, "page")
+        assert "InPandas" not in made._jdf.queryExecution().toString()  # a function call for each page costs more than its fold
+        found = {(r.page, r.line): r.region for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert found == {(p, n): r for p, lines in pages_.items() for n, r in plain_regions(lines).items()} | {(None, 0): 0, (99, 0): 0, (99, 1): 1}
