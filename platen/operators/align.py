@@ -1,17 +1,23 @@
-"""Sequence alignment, one pair of sequences to a grouped function."""
+"""Sequence alignment, one pair of sequences held at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from math import nan
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .grouping import dealt
 
 
 #: Cells of a table that are held at a time, besides one row for each block of rows.
 CELLS = 8_000_000
+#: Rows of an Arrow batch, about.
+ROWS = 20_000
 
 
 def _blocks(n: int, m: int, cost: int) -> int:
@@ -110,41 +116,51 @@ def cost_alignment(a: list[float], b: list[float], skip: float = 0.35, cap: floa
     return out[::-1]
 
 
-def _other(rows: DataFrame, *names: str) -> DataFrame:
-    """Under names of its own: both sides may come from one table."""
-    return rows.select(*[F.col(n).alias(f"right_{n}") for n in names])
-
-
-def _plain(name: str) -> str:
-    return name.removeprefix("right_")
+def _aligned(left: DataFrame, right: DataFrame, group: str, order: str, value: str, ways: Callable[[list, list], list[tuple[int | None, int | None]]]) -> DataFrame:
+    """group, left_order, right_order of each step. Both sides' rows go sorted through a partition in Arrow batches; one group is held."""
+    kinds = dict(left.dtypes)
+    side = lambda df, n: df.select(F.col(group).cast(kinds[group]).alias(group), F.lit(n).alias("__side"), F.col(order).cast(kinds[order]).alias(order), value)
+    rows = dealt(side(left, 0).union(side(right, 1)), group)
+    first = F.row_number().over(Window.partitionBy(group).orderBy("__side", F.col(order).asc_nulls_last())) == 1
+    out_types = to_arrow_schema(left.select(group, F.col(order).alias("left_order"), F.col(order).alias("right_order")).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list, list] = ([], [], [])
+        key, orders, values = None, ([], []), ([], [])
+
+        def close() -> None:
+            for i, j in ways(*values):
+                out[0].append(key)
+                out[1].append(None if i is None else orders[0][i])
+                out[2].append(None if j is None else orders[1][j])
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, out_types, strict=True)], names=out_types.names)
+            for x in out:
+                x.clear()
+            return batch
+
+        for batch in batches:
+            for new, own, n, place, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if new:
+                    close()
+                    key, orders, values = own, ([], []), ([], [])
+                    if len(out[0]) >= ROWS:
+                        yield made()
+                orders[n].append(place)
+                values[n].append(x)
+        close()
+        yield made()
+
+    return rows.select(first.alias("__first"), group, "__side", order, value).mapInArrow(run, f"`{group}` {kinds[group]}, left_order {kinds[order]}, right_order {kinds[order]}")
 
 
 def lcs_pairs(left: DataFrame, right: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """group, left_order, right_order of each pair; both sides of a group are held by one task."""
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.rename(columns=_plain)
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=[group, "left_order", "right_order"])
-        a, b = a.sort_values(order), b.sort_values(order)
-        found = lcs(a[value].tolist(), b[value].tolist())
-        return pd.DataFrame([(a[group].iloc[0], a[order].iloc[i], b[order].iloc[j]) for i, j in found], columns=[group, "left_order", "right_order"])
-
-    kind = {f.name: f.dataType.simpleString() for f in left.schema}
-    schema = f"`{group}` {kind[group]}, left_order {kind[order]}, right_order {kind[order]}"
-    return dealt(left.select(group, order, value), group).groupBy(group).cogroup(dealt(_other(right, group, order, value), f"right_{group}").groupBy(f"right_{group}")).applyInPandas(pair, schema)
+    """group, left_order, right_order of each pair."""
+    return _aligned(left, right, group, order, value, lcs)
 
 
 def line_alignment(left: DataFrame, right: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """group, left_order, right_order: null on the side that a step skips."""
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.rename(columns=_plain)
-        a, b = (x.sort_values(order) if len(x) else pd.DataFrame(columns=[group, order, value]) for x in (a, b))
-        key = (a if len(a) else b)[group].iloc[0]
-        steps = cost_alignment(a[value].tolist(), b[value].tolist())
-        rows = [(key, None if i is None else a[order].iloc[i], None if j is None else b[order].iloc[j]) for i, j in steps]
-        return pd.DataFrame(rows, columns=[group, "left_order", "right_order"]).astype({"left_order": "Int64", "right_order": "Int64"})
-
-    schema = f"`{group}` {left.schema[group].dataType.simpleString()}, left_order long, right_order long"
-    return dealt(left.select(group, order, value), group).groupBy(group).cogroup(dealt(_other(right, group, order, value), f"right_{group}").groupBy(f"right_{group}")).applyInPandas(pair, schema)
+    number = lambda df: df.select(group, F.col(order).cast("long").alias(order), F.coalesce(F.col(value).cast("double"), F.lit(nan)).alias(value))
+    return _aligned(number(left), number(right), group, order, value, cost_alignment)

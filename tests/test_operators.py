@@ -349,3 +349,28 @@ def test_regions_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert found == {(p, n): r for p, lines in pages_.items() for n, r in plain_regions(lines).items()} | {(None, 0): 0, (99, 0): 0, (99, 1): 1}
+
+
+def pairs_over_batches(spark, made):
+    """Both sides of each group, and the alignment that made gives of them, in batches of four rows."""
+    import random
+
+    draw = random.Random(7)
+    left = {g: [draw.randrange(4) for _ in range(draw.randrange(5 * g))] for g in range(1, 9)} | {None: [1, 2], 20: [3], 21: []}
+    right = {g: [draw.randrange(4) for _ in range(draw.randrange(5 * g))] for g in range(1, 9)} | {None: [2, 1], 20: [], 21: [1, 3]}
+    rows_of = lambda side: spark.createDataFrame([(g, 10 * n, v / 7) for g, values in side.items() for n, v in enumerate(values)], "g int, n long, v double").orderBy(F.desc("n"))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        df = made(rows_of(left), rows_of(right), "g", "n", "v")
+        assert "InPandas" not in df._jdf.queryExecution().toString()  # a function call for each pair costs more than its table
+        found = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    return {g: ([v / 7 for v in left[g]], [v / 7 for v in right[g]], [r[1:] for r in found if r[0] == g]) for g in left}
+
+
+def test_line_alignment_over_batches(spark):
+    for a, b, steps in pairs_over_batches(spark, align.line_alignment).values():
+        assert steps == [(None if i is None else 10 * i, None if j is None else 10 * j) for i, j in align.cost_alignment(a, b)]
+        assert math.isclose(sum(0.35 if i is None or j is None else min(0.7, 3 * abs(a[i // 10] - b[j // 10])) for i, j in steps), plain_cost(a, b), abs_tol=1e-9)
