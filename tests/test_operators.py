@@ -374,3 +374,8 @@ def test_line_alignment_over_batches(spark):
     for a, b, steps in pairs_over_batches(spark, align.line_alignment).values():
         assert steps == [(None if i is None else 10 * i, None if j is None else 10 * j) for i, j in align.cost_alignment(a, b)]
         assert math.isclose(sum(0.35 if i is None or j is None else min(0.7, 3 * abs(a[i // 10] - b[j // 10])) for i, j in steps), plain_cost(a, b), abs_tol=1e-9)
+
+
+def test_lcs_pairs_over_batches(spark):
+    for a, b, steps in pairs_over_batches(spark, align.lcs_pairs).values():
+        assert steps == [(10 * i, 10 * j) for i, j in plain_lcs(a, b)]
