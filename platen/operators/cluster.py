@@ -8,6 +8,7 @@ from itertools import accumulate
 from math import nan
 from operator import sub
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,41 +70,58 @@ BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = 200_000
 
 
+def _cut(texts: list[str | None]) -> Iterator[tuple[int, list[int], tuple[list, list, list, list]]]:
+    """Of runs of texts, about WORDS words each: the first text, each one's number of words, and word_no, word, start, end."""
+    parts = re.compile(f"[{BLANK}]+|[^{BLANK}]+").findall
+    blank = re.compile(f"[{BLANK}]").match
+    at, counts, columns = 0, [], ([], [], [], [])
+    for n, line in enumerate(texts):
+        found = parts(line or "")
+        first = 1 if line and blank(line) else 0  # blanks and words take turns
+        words, ends = found[first::2], list(accumulate(map(len, found)))[first::2]
+        counts.append(len(words))
+        for column, values in zip(columns, (range(len(words)), words, map(sub, ends, map(len, words)), ends), strict=True):
+            column.extend(values)
+        if len(columns[0]) >= WORDS:
+            yield at, counts, columns
+            at, counts, columns = n + 1, [], ([], [], [], [])
+    yield at, counts, columns
+
+
+WORD = pa.schema([("word_no", pa.int32()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+
 def words_of(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, word_no, word, start, end: runs of other than white space, spans in code points. No shuffle.
 
     Spark's functions have running sums over an array only as a fold for each element, which takes ten times as long as this.
     """
-    parts = re.compile(f"[{BLANK}]+|[^{BLANK}]+").findall
-    blank = re.compile(f"[{BLANK}]").match
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row: list[int] = []
-            columns: tuple[list, ...] = ([], [], [], [])
-            for n, line in enumerate(batch.column(len(keys)).to_pylist()):
-                if not line:
-                    continue
-                found = parts(line)
-                first = 1 if blank(line) else 0  # blanks and words take turns
-                words, ends = found[first::2], list(accumulate(map(len, found)))[first::2]
-                row += [n] * len(words)
-                for column, values in zip(columns, (range(len(words)), words, map(sub, ends, map(len, words)), ends), strict=True):
-                    column.extend(values)
-                if len(row) >= WORDS:
-                    yield made(batch, row, columns)
-                    row, columns = [], ([], [], [], [])
-            yield made(batch, row, columns)
-
-    def made(batch: pa.RecordBatch, row: list[int], columns: tuple[list, ...]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32())
-        own = [batch.column(k).take(pa.array(row, pa.int32())) for k in range(len(keys))]
-        return pa.RecordBatch.from_arrays(own + [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[*keys, "word_no", "word", "start", "end"])
+            for at, counts, columns in _cut(batch.column(len(keys)).to_pylist()):
+                row = pa.array(np.repeat(np.arange(at, at + len(counts), dtype=np.int32), counts))
+                own = [batch.column(k).take(row) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(x, f.type) for x, f in zip(columns, WORD, strict=True)], names=[*keys, *WORD.names])
 
     schema = ", ".join(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in keys)
     return lines.select(*keys, text).mapInArrow(run, f"{schema}, word_no int, word string, start int, end int")
 
 
+def word_lists(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, text, words: as words_of, but a row for each line, with its words as an array beside its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, counts, columns in _cut(batch.column(len(keys)).to_pylist()):
+                words = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, WORD, strict=True)], fields=list(WORD))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), words)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(counts)).columns, lists], names=[*keys, text, "words"])
+
+    schema = ", ".join(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in [*keys, text])
+    return lines.select(*keys, text).mapInArrow(run, f"{schema}, words array<struct<word_no: int, word: string, start: int, end: int>>")
+
+
 def running_space(rows: DataFrame, group: list[str], order: list[str], top: str, bottom: str) -> DataFrame:
     """rows with space_before: from the lowest bottom of all before, at least 0; null for the first."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

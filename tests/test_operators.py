@@ -399,3 +399,27 @@ def test_reflow_over_word_lists(spark):
     other = spark.createDataFrame(lines, "line int, words array<string>").select(F.explode("words").alias("word"), "line")
     made = match.reflow(spark.createDataFrame(parents, "parent int, keys array<string>"), "parent", "keys", other, "word", "line")
     assert (300, 2) in wanted and len(wanted) > 20 and rows(made) == sorted(wanted)
+
+
+def test_spans_beside_their_text_need_no_shuffle(spark):
+    texts = {1: "olá 😀 mundo", 2: None, 3: "", 4: "x" * 50}
+    children = [(1, 0, "olá", 0, 3), (1, 1, "😀", 4, 5), (1, 2, "mundo", 6, 11), (1, 3, "mundo", 7, 12), (1, 4, "olá", 0, None), (1, 5, "olá", None, 3), (1, 6, None, 0, 3), (1, 7, "", 3, 3), (1, 8, "o", -11, -10), (2, 0, "a", 0, 1), (3, 0, "a", 0, 1), (4, 0, "xx", 48, 50), (4, 1, "xx", 49, 51)]
+    child = "array<struct<word_no int, text string, start int, end int>>"
+    nested = [(k, t, [c[1:] for c in children if c[0] == k]) for k, t in texts.items()] + [(n, "ab", [(0, "b", n % 2, 2)]) for n in range(1000, 3500)] + [(9, "ab", None), (10, "ab", [])]
+    made = validate.span_errors_within(spark.createDataFrame(nested, f"unit int, line string, words {child}").coalesce(1), ["unit"], "line", "words", "word_no")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    units = spark.createDataFrame([((k, -1), None, t, None, None) for k, t in texts.items()] + [((c[0], c[1]), (c[0], -1), *c[2:]) for c in children], "unit_id struct<a int, b int>, parent_id struct<a int, b int>, text string, start int, end int")
+    assert rows(made) == sorted([tuple(r.unit_id) for r in validate.span_errors(units).collect()] + [(n, 0) for n in range(1000, 3500, 2)])
+
+
+def test_word_lists_are_the_words_of_their_line(spark):
+    text_ = "  " + " ".join("w" * (n % 5 + 1) + ("😀" if n % 9 == 0 else "") for n in range(1000)) + "\t"
+    df = spark.createDataFrame([(1, text_), (2, ""), (3, None), (4, "   "), (5, "a b"), (6, text_[::-1])], "k int, t string").coalesce(1)
+    kept, cluster.WORDS = cluster.WORDS, 1200
+    try:
+        made = {r.k: r for r in cluster.word_lists(df, ["k"], "t").collect()}
+        flat = [tuple(r) for r in cluster.words_of(df, ["k"], "t").collect()]
+    finally:
+        cluster.WORDS = kept
+    assert {k: r.t for k, r in made.items()} == {r.k: r.t for r in df.collect()}
+    assert [(k, *w) for k, r in sorted(made.items()) for w in r.words] == sorted(flat) and len(flat) == 2002
