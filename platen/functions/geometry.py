@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,24 +74,27 @@ def project(m: Column, x: Column, y: Column) -> Column:
     return F.when(safe.isNotNull(), F.struct(((m[0] * x + m[1] * y + m[2]) / safe).alias("x"), ((m[3] * x + m[4] * y + m[5]) / safe).alias("y")))
 
 
-def _over_corners(m: Column, box: Column, keep: Callable[[Column, Column], Column]) -> Column:
-    """Envelope of a box's projected corners; null unless keep(corners, envelope) holds. Corners are d, u, v: the point is (u / d, v / d).
+def _over_corners(m: Column, box: Column, keep: Callable[[list[tuple[Column, Column, Column]], tuple[Column, ...]], Column]) -> Column:
+    """Envelope of a box's projected corners; null unless keep(corners, envelope) holds. Corners are their denominator and the point.
 
-    They are bound once by a lambda, for as plain columns their expressions would be repeated in each of their uses.
+    They are plain columns: Spark compiles these, but interprets what a lambda binds, which takes longer than to repeat them.
     """
     places = [(box["x0"], box["y0"]), (box["x1"], box["y0"]), (box["x1"], box["y1"]), (box["x0"], box["y1"])]
-    corners = F.array(*[F.struct(denominator(m, x, y).alias("d"), (m[0] * x + m[1] * y + m[2]).alias("u"), (m[3] * x + m[4] * y + m[5]).alias("v")) for x, y in places])
+    corners = []
+    for x, y in places:
+        d = denominator(m, x, y)
+        corners.append((d, F.try_divide(m[0] * x + m[1] * y + m[2], d), F.try_divide(m[3] * x + m[4] * y + m[5], d)))
+    _, xs, ys = zip(*corners, strict=True)
+    ends = (F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+    return F.when(keep(corners, ends), F.struct(*[e.alias(n) for e, n in zip(ends, ("x0", "y0", "x1", "y1"), strict=True)]))
 
-    def envelope(points: Column) -> Column:
-        xs, ys = F.transform(points, lambda p: F.try_divide(p["u"], p["d"])), F.transform(points, lambda p: F.try_divide(p["v"], p["d"]))
-        return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
-    made = F.transform(F.array(corners), lambda c: F.struct(c.alias("c"), envelope(c).alias("e")))
-    return F.get(F.transform(made, lambda x: F.when(keep(x["c"], x["e"]), x["e"])), 0)
+def _all(conditions: list[Column]) -> Column:
+    return reduce(and_, conditions)
 
 
-def _clear(corners: Column) -> Column:
-    return F.forall(corners, lambda p: F.coalesce(_finite(p["d"]) & (F.abs(p["d"]) > EPSILON), F.lit(False)))
+def _clear(corners: list[tuple[Column, Column, Column]]) -> Column:
+    return _all([F.coalesce(_finite(d) & (F.abs(d) > EPSILON), F.lit(False)) for d, _, _ in corners])
 
 
 def project_box_compare(m: Column, box: Column) -> Column:
@@ -100,17 +105,16 @@ def project_box_compare(m: Column, box: Column) -> Column:
 def project_box_plan(m: Column, box: Column) -> Column:
     """As for comparing, and the corners lie on one side of the horizon and the envelope has an area."""
 
-    def keep(c: Column, e: Column) -> Column:
-        signs = F.transform(c, lambda p: F.signum(p["d"]))
-        return _clear(c) & (F.array_min(signs) == F.array_max(signs)) & (e["x1"] > e["x0"]) & (e["y1"] > e["y0"])
+    def keep(c: list[tuple[Column, Column, Column]], e: tuple[Column, ...]) -> Column:
+        one_side = _all([d > 0 for d, _, _ in c]) | _all([d < 0 for d, _, _ in c])
+        return _clear(c) & one_side & (e[2] > e[0]) & (e[3] > e[1])
 
     return _over_corners(m, box, keep)
 
 
 def project_box_layout(m: Column, box: Column) -> Column:
     """Only finiteness is asked of the corners."""
-    finite = lambda p, n: _finite(F.try_divide(p[n], p["d"]))
-    return _over_corners(m, box, lambda c, e: F.forall(c, lambda p: finite(p, "u") & finite(p, "v")))
+    return _over_corners(m, box, lambda c, e: _all([_finite(x) & _finite(y) for _, x, y in c]))
 
 
 def project_baseline(m: Column, points: Column) -> Column:

@@ -29,36 +29,38 @@ def line_plans(pages: DataFrame, lines: DataFrame, page: str) -> DataFrame:
     """
     rows = lines.join(pages.select(page, "matrix"), page)
     box = g.project_box_plan(F.col("matrix"), F.col("box"))
-    places = F.transform("baseline", lambda p: g.project(F.col("matrix"), p["x"], p["y"]))
-    signs = F.transform("baseline", lambda p: F.signum(g.denominator(F.col("matrix"), p["x"], p["y"])))
-    lost = F.col("baseline").isNotNull() & (F.exists(places, lambda p: p.isNull()) | (F.array_min(signs) != F.array_max(signs)))
+    # A point's denominator is its side of the horizon, null where the point has no projection.
+    side = lambda p: F.when(g.project(F.col("matrix"), p["x"], p["y"]).isNotNull(), F.signum(g.denominator(F.col("matrix"), p["x"], p["y"])))
+    apart = lambda signs: F.exists(signs, lambda x: x.isNull()) | (F.array_min(signs) != F.array_max(signs))
+    lost = F.col("baseline").isNotNull() & F.get(F.transform(F.array(F.transform("baseline", side)), apart), F.lit(0))
     diagnosis = lambda condition, code, detail: F.when(condition, F.struct(F.lit(code).alias("code"), F.col("unit").cast("string").alias("unit"), F.lit(detail).alias("detail")))
     whole = F.col("text").isNotNull() & F.col("box").isNotNull() & F.col("key").isNotNull()
-    broken = t.line_end(F.col("text")).isNotNull()
-    rows = rows.withColumn("target", box).withColumn("lost", F.coalesce(lost, F.lit(False)))
-    mapped = F.col("matrix").isNotNull()
+    rows = rows.withColumn("target", box).withColumn("lost", F.coalesce(lost, F.lit(False))).withColumn("broken", t.line_end(F.col("text")).isNotNull())
+    broken, mapped = F.col("broken"), F.col("matrix").isNotNull()
+    sound = whole & ~broken & F.col("target").isNotNull() & ~F.col("lost")
     faults = F.filter(
         F.array(
-            *[diagnosis(mapped & F.col(c).isNull(), "required-claim-unknown", n) for c, n in (("text", "text"), ("box", "bbox"), ("key", "reading-order"))],
-            diagnosis(mapped & whole & broken, "explicit-line-separator", "text"),
-            diagnosis(mapped & whole & ~broken & F.col("target").isNull(), "projection-failed", "bbox"),
-            diagnosis(mapped & whole & ~broken & F.col("target").isNotNull() & F.col("lost"), "projection-failed", "baseline"),
+            *[diagnosis(F.col(c).isNull(), "required-claim-unknown", n) for c, n in (("text", "text"), ("box", "bbox"), ("key", "reading-order"))],
+            diagnosis(whole & broken, "explicit-line-separator", "text"),
+            diagnosis(whole & ~broken & F.col("target").isNull(), "projection-failed", "bbox"),
+            diagnosis(whole & ~broken & F.col("target").isNotNull() & F.col("lost"), "projection-failed", "baseline"),
         ),
         lambda x: x.isNotNull(),
     )
-    rows = rows.withColumn("faults", faults)
-    good = mapped & (F.size("faults") == 0)
-    planned = rows.where(good)
-    shared = ambiguous_orders(planned, [page], "key", "unit")
-    shared = shared.groupBy(page).agg(F.collect_list(F.struct(F.lit("ambiguous-reading-order").alias("code"), F.array_join(F.col("units").cast("array<string>"), ",").alias("unit"), F.lit("reading-order").alias("detail"))).alias("shared"))
+    good = mapped & sound
+    rows = rows.withColumn("faults", F.when(mapped & ~sound, faults))
     made = rows.groupBy(page).agg(
         F.count("*").alias("total"), F.count_if(good).alias("planned"), F.flatten(F.collect_list("faults")).alias("faults"),
         F.array_sort(F.collect_list(F.when(good, F.struct("key", "unit", "text", "target")))).alias("found"),
     )
-    out = pages.select(page, "matrix").join(made, page, "left").join(shared, page, "left")
+    out = pages.select(page, "matrix").join(made, page, "left")
+    # Lines lie by key, so those that share one lie together.
+    again = F.filter("found", lambda x, i: (i > 0) & (x["key"] == F.get(F.col("found"), i - 1)["key"]))
+    joined = lambda k: F.array_join(F.transform(F.filter("found", lambda x: x["key"] == k), lambda x: x["unit"].cast("string")), ",")
+    shared = F.transform(F.array_distinct(F.transform(again, lambda x: x["key"])), lambda k: F.struct(F.lit("ambiguous-reading-order").alias("code"), joined(k).alias("unit"), F.lit("reading-order").alias("detail")))
     one = lambda code: F.array(F.struct(F.lit(code).alias("code"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("detail")))
-    total, listed = F.coalesce("total", F.lit(0)), F.coalesce("shared", F.array().cast("array<struct<code:string,unit:string,detail:string>>"))
-    diagnostics = F.when(total == 0, one(NO_LINES)).when(F.col("matrix").isNull(), one(NO_MAPPING)).otherwise(F.array_sort(F.concat("faults", listed)))
+    total = F.coalesce("total", F.lit(0))
+    diagnostics = F.when(total == 0, one(NO_LINES)).when(F.col("matrix").isNull(), one(NO_MAPPING)).otherwise(F.array_sort(F.concat("faults", shared)))
     out = out.withColumn("diagnostics", diagnostics)
     clean = F.size("diagnostics") == 0
     return out.select(page, F.when(clean, "materializable").otherwise("unknown").alias("status"), F.coalesce("planned", F.lit(0)).alias("planned"), total.alias("total"), F.when(clean, F.col("found")).alias("lines"), "diagnostics")

@@ -19,8 +19,8 @@ FIRST_ITEMS = "SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_
 
 
 def _items(spark, sf_dir):
-    """An item for each order and line number."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")).alias("x"))
+    """An item for each order and line number. Items are dealt by order, which joins and groups by page then need not do again."""
+    rows = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")).alias("x"))
     return rows.select(F.col("l_orderkey").alias("page"), "l_linenumber", "x.*")
 
 

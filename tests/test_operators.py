@@ -423,3 +423,25 @@ def test_word_lists_are_the_words_of_their_line(spark):
         cluster.WORDS = kept
     assert {k: r.t for k, r in made.items()} == {r.k: r.t for r in df.collect()}
     assert [(k, *w) for k, r in sorted(made.items()) for w in r.words] == sorted(flat) and len(flat) == 2002
+
+
+def test_plans_read_their_lines_once(spark):
+    same = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    # The horizon x = 1.5 passes between the ends of box and baseline of e and f.
+    split = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, -1.5]
+    pages_ = spark.createDataFrame([(1, same), (2, split), (3, same), (4, None)], "page int, matrix array<double>")
+    kind = "page int, unit string, text string, box struct<x0:double,y0:double,x1:double,y1:double>, key array<long>, baseline array<struct<x:double,y:double>>"
+    box, near = (0.0, 0.0, 2.0, 1.0), (0.0, 0.0, 1.0, 1.0)
+    lines = [(1, u, "t", box, k, None) for u, k in (("b", [2]), ("a", [2]), ("d", [1, None]), ("c", [1, None]), ("z", [1]), ("y", [2]))]
+    lines += [(2, "e", "t", box, [1], None), (2, "f", "t", near, [2], [(0.0, 0.0), (2.0, 0.0)]), (2, "g", "t", near, [3], [(1.5, 0.0)]), (2, "h", "t", near, [4], [(0.0, 0.0), (1.0, 0.0)])]
+    lines += [(3, "i", None, None, None, None), (3, "j", "a\u2028b", box, [5], [(0.0, None)]), (3, "k", "t", box, [5], []), (3, "l", "t", (1.0, 0.0, 1.0, 1.0), [6], None), (4, "m", None, None, [1], None)]
+    df = spark.createDataFrame(lines, kind)
+    made = planning.line_plans(pages_, df, "page")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 3  # pages twice, lines once
+    found = {r.page: ([tuple(d) for d in r.diagnostics], r.planned, r.total) for r in made.collect()}
+    shared = "ambiguous-reading-order"
+    assert found[1] == ([(shared, "a,b,y", "reading-order"), (shared, "c,d", "reading-order")], 6, 6)
+    assert found[2] == ([("projection-failed", "e", "bbox"), ("projection-failed", "f", "baseline"), ("projection-failed", "g", "baseline")], 1, 4)
+    assert found[3] == ([("explicit-line-separator", "j", "text"), ("projection-failed", "l", "bbox"), *[("required-claim-unknown", "i", n) for n in ("bbox", "reading-order", "text")]], 1, 4)
+    assert found[4] == ([("page-mapping-unknown", None, None)], 0, 1)
